@@ -80,3 +80,18 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 
 QUERIES = {"op3_bpe": op3_bpe, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup}
 ORACLE = {"op4_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.simhash import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.token_files import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+QUERIES |= {"op1_simhash": op1_simhash, "op2_token_files": op2_token_files}

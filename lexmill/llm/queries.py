@@ -95,3 +95,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_simhash": op1_simhash, "op2_token_files": op2_token_files}
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.minhash import edited_next
+
+    return edited_next(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op8_minhash": op8_minhash, "op9_substring_dedup": op9_substring_dedup}

@@ -110,3 +110,30 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_minhash": op8_minhash, "op9_substring_dedup": op9_substring_dedup}
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op10_quality": op10_quality}
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.html_extract import extract_main
+
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op5_html": op5_html}
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.warc import derivatives, pages_to_responses
+
+    return derivatives(pages_to_responses(table(spark, sf_dir, "pages"), carry=("page_id",)), carry=("page_id",))
+
+
+QUERIES |= {"op6_warc": op6_warc}

@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import regex
@@ -30,7 +31,7 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Segments that a worker process remembers at most.
-CACHE = 300_000
+CACHE = 1_000_000
 
 #: All characters that Python or the pattern take for white space.
 SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\s", c))
@@ -94,6 +95,7 @@ class Bpe:
                 raise ValueError("added tokens with single_word, lstrip or rstrip are not supported")
             self.added[t["content"]] = t["id"]
             self.bytes_of[t["id"]] = t["content"].encode()
+        self.decimal = {i: str(i) for i in self.bytes_of}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(PATTERN)
         self.known: dict[str, tuple[int, ...]] = {}
@@ -207,7 +209,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for cut, known in self.batches(texts):
-            yield [i for s in cut for i in known[s]]
+            yield list(chain.from_iterable(map(known.__getitem__, cut)))
 
     def decode_bytes(self, ids) -> bytes:
         try:
@@ -244,7 +246,7 @@ def encode_decode(df, path: str, id_col: str = "doc_id", text_col: str = "text")
             n, ids_hash, text_hash = [], [], []
             for ids in bpe.encode(b["text"].to_pylist()):
                 n.append(len(ids))
-                ids_hash.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                ids_hash.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_hash.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -210,6 +210,13 @@ class LibraryEncoder:
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
+def library_encoder(path: str) -> LibraryEncoder:
+    """One per worker process and file; its table outlives the task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = LibraryEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(df: DataFrame, tokenizer: str, at: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, kind: int = BYTE_PLANES, partitions: int | None = None) -> DataFrame:
     """Writes the shards under ``at`` and returns the manifest, a staged table: part, path, n_docs, n_ids, n_bytes."""
     spark = df.sparkSession
@@ -223,7 +230,7 @@ def write_tokens(df: DataFrame, tokenizer: str, at: str | None = None, id_col: s
     schema = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
     def run(batches):
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, LibraryEncoder(tokenizer))
+        encoder = library_encoder(tokenizer)
         shard, part, number, done = None, 0, 0, []
         for b in batches:
             if not b.num_rows:

@@ -82,10 +82,15 @@ def fingerprint(text: Column, width: int = WIDTH) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, from 0 to 1."""
+    return packed_likeness(F.unhex(a), F.unhex(b))
+
+
+def packed_likeness(a: Column, b: Column) -> Column:
+    """Of two fingerprints as binary, 16 bins a time."""
     ones = F.lit(0x1111111111111111).cast("long")
     unequal = F.lit(0)
     for k in range(BINS // 16):
-        x, y = (F.conv(F.substring(c, 16 * k + 1, 16), 16, -10).cast("long") for c in (a, b))
+        x, y = (F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long") for c in (a, b))
         d = x.bitwiseXOR(y)
         any_ = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
         unequal = unequal + F.bit_count(any_.bitwiseAND(ones))
@@ -116,19 +121,20 @@ def edited_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     The edited text has its last ``n_chars // 3`` code points replaced by as many of the next document's first."""
     text = text_of(df[text_col])
     docs = df.select(df[id_col].alias("self_id"), F.xxhash64(text).alias("self_h"), text.alias("text"))
-    prints = stage(docs.select("self_id", "self_h", F.char_length("text").alias("n"), fingerprint(F.col("text"), width).alias("fp")), "fingerprints")
+    # fingerprints travel packed, half the size of their digits
+    prints = stage(docs.select("self_id", "self_h", F.char_length("text").alias("n"), F.unhex(fingerprint(F.col("text"), width)).alias("fp")), "fingerprints")
     keys = prints.groupBy(F.col("self_id").alias("id"), F.col("self_h").alias("h")).agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
-    pairs = stage(neighbours(keys.select("id", "h")).select(F.col("id").alias("key_id"), F.col("h").alias("key_h"), "next_id", "next_h"), "neighbours")
+    pairs = stage(neighbours(prints.select(F.col("self_id").alias("id"), F.col("self_h").alias("h")).distinct()).select(F.col("id").alias("key_id"), F.col("h").alias("key_h"), "next_id", "next_h"), "neighbours")
     own = keys.select(F.col("id").alias("own_id"), F.col("h").alias("own_h"), "n", "fp")
     other = keys.select(F.col("id").alias("other_id"), F.col("h").alias("other_h"), F.col("fp").alias("next_fp"))
-    known = pairs.join(own, _same("key", "own")).join(other, _same("next", "other")).select("key_id", "key_h", "next_id", "next_h", (F.col("n") / 3).cast("int").alias("m"), "n", "fp", "next_fp")
+    known = pairs.join(other, _same("next", "other")).join(own, _same("key", "own")).select("key_id", "key_h", "next_id", "next_h", (F.col("n") / 3).cast("int").alias("m"), "n", "fp", packed_likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
     known = stage(known, "pairs")
     # the prefix of every text that the document before it needs
     wanted = docs.join(known.select("key_id", "key_h", "next_id", "next_h", "m"), _same("self", "next"))
     prefix = wanted.select(F.col("key_id").alias("for_id"), F.col("key_h").alias("for_h"), F.substring("text", F.lit(1), F.col("m")).alias("prefix"))
     if not prints.groupBy("self_id", "self_h").count().filter("count > 1").isEmpty():
         prefix = prefix.groupBy("for_id", "for_h").agg(F.first("prefix").alias("prefix"))
-    met = docs.join(prefix, _same("self", "for")).join(known.select("key_id", "key_h", "m", "n", "fp", "next_fp"), _same("self", "key"))
-    edited = met.select("self_id", "n", "fp", "next_fp", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("m")), "prefix").alias("edited"))
-    out = edited.select("self_id", "n", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited"), width).alias("edited_fp"))
-    return out.select(F.col("self_id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    met = docs.join(prefix, _same("self", "for")).join(known.select("key_id", "key_h", "m", "n", "fp", "near_next"), _same("self", "key"))
+    edited = met.select("self_id", "n", "fp", "near_next", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("m")), "prefix").alias("edited"))
+    out = edited.select("self_id", "n", "fp", "near_next", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited"), width).alias("edited_fp"))
+    return out.select(F.col("self_id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), packed_likeness(F.col("fp"), F.unhex("edited_fp")).alias("near_edited"), "near_next")

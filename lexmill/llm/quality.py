@@ -12,7 +12,7 @@ weights are ``DIMS`` numbers.  A document is kept if its score (probability to b
 Each document is read whole.  ``score`` reads each text once and keeps the features in a staged table; ``keep_good`` reads it a
 second time with the finished model, so that texts are never shuffled.
 
-Defined results: null text counts as empty, and a text without words gets a bad vote; rows that repeat an id are rows
+Defined results: null text counts as empty, and a text without words has score 0; rows that repeat an id are rows
 of their own; an empty table gives an empty table and a model that keeps everything; ``keep_good`` keeps all
 columns whatever their names.
 """
@@ -81,7 +81,7 @@ def describe(text: str, shapes: _Shapes) -> tuple[int, list[int], list[float]]:
     words = text.split()
     n = len(words)
     if not n:
-        return BAD * 3 ** (len(LABELLERS) - 1), [feature("no words")], [1.0]
+        return BAD * 3 ** (len(LABELLERS) - 1), [], []
     if len(shapes) > 400_000 or len(shapes.number) > 20_000:
         shapes.renew()
     kinds, counts = np.unique(np.fromiter(map(shapes.__getitem__, words), np.int64, n), return_counts=True)
@@ -162,6 +162,8 @@ class Scorer:
     bias: float
 
     def score(self, dims, values) -> float:
+        if not len(dims):  # no words
+            return 0.0
         z = self.bias + float(np.dot(self.weights[np.asarray(dims, np.int64)], np.asarray(values)))
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 

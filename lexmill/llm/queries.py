@@ -137,3 +137,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_warc": op6_warc}
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, word, md5(string_agg(word, ' ') OVER f) AS h, count(*) OVER f AS n
+      FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT h, min(doc_id) AS earliest FROM g WHERE n = 50 GROUP BY h),
+r AS (SELECT g.doc_id, i, word, coalesce(n = 50 AND earliest < doc_id, false) AS bad FROM g LEFT JOIN m USING (h)),
+c AS (SELECT *, bool_or(bad) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r)
+SELECT d.doc_id, count(i) AS n_words, count(i) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+"""
+
+ORACLE |= {"op9_substring_dedup": OP9_SQL}

@@ -11,7 +11,6 @@ from lexmill.llm.queries import tokenizer_path
 
 from tests.llm.test_mixing import slow_mix
 from tests.llm.test_quality import corpus
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 
 def slow_quality(docs):
@@ -33,8 +32,21 @@ def slow_exact(docs):
 
 
 def slow_near(docs):
-    label = slow_components([slow_fingerprint(d[1]) for d in docs])
-    return [d for k, d in enumerate(docs) if label[k] == k]
+    fps = [S.wide_fingerprint(d[1]) for d in docs]
+    keys = [[tuple(np.unpackbits(f.view(np.uint8), bitorder="little")[t]) for t in S.wide_key_bits()] for f in fps]
+    up = list(range(len(docs)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= S.WIDE_RADIUS and any(a == b for a, b in zip(keys[i], keys[j])):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [d for k, d in enumerate(docs) if find(k) == k]
 
 
 def test_pipeline_matches_brute_force(spark, tmp_path):
@@ -65,6 +77,3 @@ def test_stages_keep_columns_and_odd_rows(spark):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert {r.doc_id for r in P.STAGES[-1][1](spark, docs, "").collect()} <= {2}
 
-
-def test_near_dedup_keeps_least_id():
-    assert S.RADIUS == 4

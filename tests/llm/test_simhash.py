@@ -86,3 +86,54 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((x.doc_id is None, x.text or "") for x in kept.collect()) == [(False, "a b c d e f"), (False, "quite another text than that one"), (True, "")]
     assert S.near_dedup(df.limit(0)).count() == 0 and S.near_components(df.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    s = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (a.split(), b.split())]
+    return len(s[0] & s[1]) / len(s[0] | s[1])
+
+
+@pytest.mark.parametrize("n", [300, 17])
+def test_wide_bucket_matches_brute_force(n):
+    r = np.random.default_rng(n)
+    base = r.integers(0, 2**63, (6, 4), dtype=np.uint64)
+    v = base[r.integers(0, 6, n)]
+    for _ in range(22):
+        v[np.arange(n), r.integers(0, 4, n)] ^= np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
+    forest, names = S.Forest(), np.arange(100, 100 + n)
+    S.link_wide_bucket(names, v, 38, forest)
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if int(np.bitwise_count(v[i] ^ v[j]).sum()) <= 38:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    assert [forest.find(100 + i) - 100 for i in range(n)] == [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 3])
+def test_near_dedup_follows_similarity(spark, bucket_rows):
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows, near, far = [], 0, 0
+    for k in range(120):
+        t = [words[i] for i in r.integers(0, 3000, int(r.integers(150, 500)))]
+        u = list(t)
+        for at in r.integers(0, len(u), max(1, len(u) // 100) if k % 2 else len(u) // 8):
+            u[int(at)] = "edit"
+        j = jaccard(" ".join(t), " ".join(u))
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(u))]
+        near, far = near + (j > 0.88), far + (j < 0.65)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in S.near_dedup(df, bucket_rows=bucket_rows).collect()}
+    assert all(2 * k in kept for k in range(120))
+    text = dict(rows)
+    missed = sum(2 * k + 1 in kept for k in range(120) if jaccard(text[2 * k], text[2 * k + 1]) > 0.88)
+    wrong = sum(2 * k + 1 not in kept for k in range(120) if jaccard(text[2 * k], text[2 * k + 1]) < 0.65)
+    assert near >= 30 and far >= 30 and missed <= 0.03 * near and wrong <= 0.03 * far

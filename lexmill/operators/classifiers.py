@@ -26,16 +26,21 @@ class NotTrained(RuntimeError):
 
 @dataclass(frozen=True)
 class NaiveBayesModel:
-    """Sufficient statistics as tables: counts (label, idx, total), labels (label, docs, mass), seen (idx)."""
+    """Sufficient statistics as tables: counts (label, idx, total), labels (label, docs, mass), seen (idx; None if only
+    the features in counts were ever seen)."""
 
     counts: DataFrame
     labels: DataFrame
-    seen: DataFrame
+    seen: DataFrame | None = None
     alpha: float = 1.0
 
+    @property
+    def features(self) -> DataFrame:
+        return self.counts.select("idx").distinct() if self.seen is None else self.seen
+
     @property
     def vocabulary(self) -> int:
-        return max(1, self.seen.count())
+        return max(1, self.features.count())
 
     def label_names(self) -> list[str]:
         return sorted(r["label"] for r in self.labels.select("label").collect())
@@ -53,8 +58,7 @@ def fit_naive_bayes(observations: DataFrame, alpha: float = 1.0, seen: DataFrame
     docs = observations.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     mass = counts.groupBy("label").agg(F.sum("total").alias("mass"))
     labels = docs.join(mass, "label", "left").select("label", "docs", F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    own = counts.select("idx").distinct()
-    return NaiveBayesModel(counts, labels, own if seen is None else own.union(seen).distinct(), alpha)
+    return NaiveBayesModel(counts, labels, None if seen is None else counts.select("idx").union(seen).distinct(), alpha)
 
 
 def add_naive_bayes(model: NaiveBayesModel, observations: DataFrame) -> NaiveBayesModel:
@@ -62,7 +66,7 @@ def add_naive_bayes(model: NaiveBayesModel, observations: DataFrame) -> NaiveBay
     new = fit_naive_bayes(observations, model.alpha)
     counts = model.counts.unionByName(new.counts).groupBy("label", "idx").agg(F.sum("total").alias("total"))
     labels = model.labels.unionByName(new.labels).groupBy("label").agg(F.sum("docs").alias("docs"), F.sum("mass").alias("mass"))
-    return NaiveBayesModel(counts, labels, model.seen.union(new.seen).distinct(), model.alpha)
+    return NaiveBayesModel(counts, labels, None if model.seen is None else model.seen.union(counts.select("idx")).distinct(), model.alpha)
 
 
 @dataclass(frozen=True)
@@ -77,19 +81,20 @@ class LinearModel:
 
 def naive_bayes_weights(model: NaiveBayesModel, dense_bytes: int = DENSE_BYTES) -> LinearModel:
     """Weights for the driver; refuses a model that is larger than ``dense_bytes``."""
+    rows = dense_bytes // 24
+    got = model.counts.limit(rows + 1).toArrow()
+    if got.num_rows > rows:
+        raise MemoryError("the model is too large to be broadcast; use score_joined")
     labels = sorted(model.labels.collect(), key=lambda r: r["label"])
     if not labels:
         raise NotTrained("the classifier has not been trained")
-    rows = dense_bytes // 24
-    got = model.counts.limit(rows + 1).toPandas()
-    if len(got) > rows:
-        raise MemoryError("the model is too large to be broadcast; use score_joined")
-    v, docs = model.vocabulary, sum(r["docs"] for r in labels)
-    base = [np.log(r["mass"] + model.alpha * v) for r in labels]
-    weights = []
+    name, idx, total = (got[c].to_numpy(zero_copy_only=False) for c in ("label", "idx", "total"))
+    v, docs = (max(1, len(np.unique(idx))) if model.seen is None else model.vocabulary), sum(r["docs"] for r in labels)
+    base, weights = [np.log(r["mass"] + model.alpha * v) for r in labels], []
     for r in labels:
-        part = got[got["label"] == r["label"]].sort_values("idx")
-        weights.append((part["idx"].to_numpy(np.int64), np.log(part["total"].to_numpy() + model.alpha) - np.log(model.alpha)))
+        own = np.flatnonzero(name == r["label"])
+        own = own[np.argsort(idx[own])]
+        weights.append((idx[own].astype(np.int64), np.log(total[own] + model.alpha) - np.log(model.alpha)))
     return LinearModel(tuple(r["label"] for r in labels), np.array([np.log(r["docs"] / docs) for r in labels]), np.array([np.log(model.alpha) - b for b in base]), tuple(weights))
 
 
@@ -110,10 +115,8 @@ def score_dense(df: DataFrame, model: LinearModel, out: str = "prediction") -> D
 
         m = shared.value
         rows = []
-        lists_i, lists_v = indices.to_pylist(), values.to_pylist()
-        size = [len(x or ()) for x in lists_i]
-        idx = np.fromiter((k for x in lists_i for k in x or ()), np.int64, sum(size))
-        val = np.fromiter((k for x in lists_v for k in x or ()), float, sum(size))
+        size = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        idx, val = indices.flatten().to_numpy(zero_copy_only=False).astype(np.int64), values.flatten().to_numpy(zero_copy_only=False).astype(float)
         owner = np.repeat(np.arange(len(size)), size)
         total = np.bincount(owner, val, len(size))
         scores = np.empty((len(size), len(m.labels)))
@@ -133,7 +136,7 @@ def score_dense(df: DataFrame, model: LinearModel, out: str = "prediction") -> D
 
 def log_scores(df: DataFrame, model: NaiveBayesModel, key: str = "row_id") -> DataFrame:
     """(key, label, score) for every row and label, by joins: only features that a label has need a row."""
-    vocabulary = model.seen.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("V"))
+    vocabulary = model.features.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("V"))
     total = model.labels.agg(F.sum("docs").alias("N"))
     facts = model.labels.join(vocabulary).join(total).select("label", F.log(F.col("docs") / F.col("N")).alias("prior"), (F.log(F.lit(model.alpha)) - F.log(F.col("mass") + model.alpha * F.col("V"))).alias("rest"))
     each = explode_features(df, key)

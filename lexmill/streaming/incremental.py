@@ -35,4 +35,4 @@ def streamed_model(spark: SparkSession, path: str, alpha: float = 1.0) -> NaiveB
     """The model of all batches so far."""
     counts = spark.read.parquet(f"{path}/counts").groupBy("label", "idx").agg(F.sum("total").alias("total"))
     labels = spark.read.parquet(f"{path}/labels").groupBy("label").agg(F.sum("docs").alias("docs"), F.sum("mass").alias("mass"))
-    return NaiveBayesModel(counts, labels, counts.select("idx").distinct(), alpha)
+    return NaiveBayesModel(counts, labels, None, alpha)

@@ -71,7 +71,7 @@ def test_naive_bayes(spark, incremental):
 
 def test_batch_replaces_but_vocabulary_grows(spark):
     first = C.fit_naive_bayes(vectors(spark, OBS[:2]))
-    second = C.fit_naive_bayes(vectors(spark, OBS[3:4]), seen=first.seen)
+    second = C.fit_naive_bayes(vectors(spark, OBS[3:4]), seen=first.features)
     assert second.vocabulary == 4 and [r.label for r in second.labels.collect()] == ["ham"]
 
 

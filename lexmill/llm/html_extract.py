@@ -47,7 +47,7 @@ ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thea
 DROP_TAGS = frozenset("aside button canvas datalist dialog embed footer form head iframe input map menu nav noembed noframes noscript object script select style svg template textarea title audio video".split())
 DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot banner bottombar breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disclaimer discussion disqus feedback foot footer gdpr header-bar hidden login masthead menu menubar meta-nav modal nav navbar navigation navmenu newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended registration related replies reply respond responses rss search share sharebar sharing sidebar sidenav signup skip skyscraper social sponsor sponsored sponsorship subscribe subscription tagcloud taboola toolbar topbar widget widgets".split()
+    "ad ads advert adverts alert announcement anuncio anzeige comentario comentarios commentaire commentaires copyright kommentar kommentare publicidad publicite toc warning werbung advertisement advertising adsense adslot banner bottombar breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus feedback foot footer gdpr hidden login masthead menu menubar modal nav navbar navigation navmenu newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended registration related replies reply respond responses rss search share sharebar sharing sidebar sidenav signup skip skyscraper social sponsor sponsored sponsorship subscribe subscription tagcloud taboola toolbar topbar widget widgets".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
@@ -65,6 +65,13 @@ class Node:
     kids: list = field(default_factory=list)  # nodes and texts
     path: str = ""
 
+    def is_header(self) -> bool:
+        """A header element, or one by its class or id: of it only headings are text."""
+        if self.tag == "header":
+            return True
+        names = f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}" if self.attrs and self.tag not in HEADINGS else ""
+        return "header" in names.lower() and any(w.lower() == "header" for w in _CAMEL.split(names))
+
     def dropped(self) -> bool:
         if self.tag in DROP_TAGS:
             return True
@@ -202,7 +209,7 @@ def blocks(top: Node, everything: bool = False) -> list[tuple[Node, str, int]]:
             block = kid.tag in BLOCK
             if block:
                 flush(owner)
-            heads = not everything and (only or kid.tag == "header") and kid.tag not in HEADINGS
+            heads = not everything and (only or kid.is_header()) and kid.tag not in HEADINGS
             stack.append([kid, 0, link or kid.tag == "a", kid if block else owner, heads])
     return out
 

@@ -22,6 +22,14 @@ def test_broken_markup(page, text):
     assert H.extract(page, []) == text
 
 
+@pytest.mark.parametrize(
+    "part",
+    ["<nav><a href=/>x</a></nav>", "<aside>x</aside>", "<footer>x</footer>", "<div class='ad-slot'>x</div>", "<div id='cookieNotice'>x</div>", "<section id=comments><p>x</p></section>", "<ol class='commentlist'><li>x</ol>", "<form><label>x</label></form>", "<div role=complementary>x</div>", "<div style='display: none'>x</div>", "<script>x</script>", "<style>x</style>", "<noscript>x</noscript>", "<div class='site-header'><p>x</p></div>", "<div class='kommentare'>x</div>", "<!-- x -->", "<p hidden>x"],
+)
+def test_leaves_out(part):
+    assert H.extract(f"<html><body><article><h1>T</h1><p>One.</p>{part}<p>Two &copy; three.</p></article></body></html>", []) == "T\n\nOne.\n\nTwo © three."
+
+
 def page(k, junk):
     body = "".join(f"<p>Paragraph {k} {j} " + "word " * 30 + "</p>" for j in range(3 if k % 5 else 1))
     comments = "".join(f"<div class='cmt x{j}'><p>reader {j} says " + "thing " * 40 + "</p></div>" for j in range(junk))

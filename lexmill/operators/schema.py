@@ -117,9 +117,18 @@ def _have(df: DataFrame, name: str) -> Column:
     return df[name].cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
-def validate(df: DataFrame, schema: RecordSchema, ignore: tuple[str, ...] = ()) -> DataFrame:
+def from_maps(df: DataFrame, map_col: str, schema: RecordSchema, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of different shapes, as ``map<string,string>``: a column for each declared field, and in
+    ``unknown_fields`` the names that a record has beyond them."""
+    m, names = df[map_col], [f.name for f in schema.fields]
+    unknown = F.array_except(F.map_keys(m), F.array(*[F.lit(n) for n in names]))
+    return df.select(*keep, *[F.try_element_at(m, F.lit(n)).alias(n) for n in names], F.coalesce(unknown, F.array().cast("array<string>")).alias("unknown_fields"))
+
+
+def validate(df: DataFrame, schema: RecordSchema, ignore: tuple[str, ...] = (), unknown_col: str | None = None) -> DataFrame:
     """Adds ``errors`` and ``warnings``.  Every column that the schema doesn't declare is an unknown field
-    of every record; ``ignore`` names columns that are no fields (row numbers and the like)."""
+    of every record; ``ignore`` names columns that are no fields (row numbers and the like).  ``unknown_col`` names a
+    column with each record's own unknown fields (see ``from_maps``)."""
     label = schema.label.name
     errors = [F.when(F.coalesce(trim_space(_have(df, label)), F.lit("")) == "", F.lit(f"missing or blank label field '{label}'"))]
     warnings = []
@@ -130,9 +139,12 @@ def validate(df: DataFrame, schema: RecordSchema, ignore: tuple[str, ...] = ())
         warnings.append(F.when(c.isNull(), F.lit(f"missing field '{f.name}'")))
         if f.kind == NUMERIC:
             errors.append(F.when(c.isNotNull() & ~is_numeric(c), F.concat(F.lit(f"field '{f.name}' must be numeric but was '"), c, F.lit("'"))))
-    warnings += [F.lit(f"unknown field '{c}' is not declared in the schema") for c in df.columns if schema.get(c) is None and c not in ignore]
+    warnings += [F.lit(f"unknown field '{c}' is not declared in the schema") for c in df.columns if schema.get(c) is None and c not in ignore and c != unknown_col]
     packed = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
-    return df.withColumns({"errors": packed(errors), "warnings": packed(warnings)})
+    noted = packed(warnings)
+    if unknown_col is not None:
+        noted = F.concat(noted, F.transform(df[unknown_col], lambda n: F.concat(F.lit("unknown field '"), n, F.lit("' is not declared in the schema"))))
+    return df.withColumns({"errors": packed(errors), "warnings": noted})
 
 
 def feature_text(df: DataFrame, schema: RecordSchema) -> Column:

@@ -9,7 +9,7 @@ from lexmill.functions.hashing import HashingConfig, vectorize
 from lexmill.functions.text import normalize
 from lexmill.operators import classifiers as C
 from lexmill.operators.schema import RecordSchema, feature_text, label_of
-from lexmill.operators.store import FeatureStore, MemoryStore
+from lexmill.operators.store import AesGcm, FeatureStore, MemoryStore
 from lexmill.sources.models import CLASSIFIERS, LOGISTIC_REGRESSION, NAIVE_BAYES, LoadedModel, load_model, save_model
 
 FEATURES_ONLY, ENCRYPTED_SOURCE = PRIVACY_MODES = ("FEATURES_ONLY", "ENCRYPTED_SOURCE")
@@ -18,9 +18,13 @@ FEATURES_ONLY, ENCRYPTED_SOURCE = PRIVACY_MODES = ("FEATURES_ONLY", "ENCRYPTED_S
 class Engine:
     """Learning counts every observation; the store may drop repeated ones, so ``retrain`` can differ from the live model."""
 
-    def __init__(self, spark: SparkSession, schema: RecordSchema, hashing: HashingConfig, classifier: str = NAIVE_BAYES, store: FeatureStore | None = None, privacy: str = FEATURES_ONLY, normalizer=normalize, rate: float = 0.1, decay: float = 0.0, l2: float = 0.0):
+    def __init__(self, spark: SparkSession, schema: RecordSchema, hashing: HashingConfig, classifier: str = NAIVE_BAYES, store: FeatureStore | None = None, privacy: str = FEATURES_ONLY, normalizer=normalize, rate: float = 0.1, decay: float = 0.0, l2: float = 0.0, source_key: bytes | None = None):
         if classifier not in CLASSIFIERS or privacy not in PRIVACY_MODES:
             raise ValueError("unknown classifier or privacy mode")
+        if privacy == ENCRYPTED_SOURCE and source_key is None:
+            raise ValueError("ENCRYPTED_SOURCE needs a key")
+        self._aes = AesGcm(source_key) if privacy == ENCRYPTED_SOURCE else None
+        self._sources: DataFrame | None = None
         self.spark, self.schema, self.hashing, self.classifier, self.privacy, self.normalizer = spark, schema, hashing, classifier, privacy, normalizer
         self.store = store if store is not None else MemoryStore(spark)
         self.sgd = {"rate": rate, "decay": decay, "l2": l2}
@@ -53,6 +57,9 @@ class Engine:
             raise ValueError("a record has no label")
         if not counted[0]:
             return
+        if self._aes is not None:
+            text = records.select((F.monotonically_increasing_id() + self._seq).alias("seq"), self._aes.encrypt(feature_text(records, self.schema).cast("binary")).alias("source")).persist()
+            self._sources = text if self._sources is None else self._sources.unionByName(text)
         self._seq = counted[2] + 1
         self.store.add_all(new)
         if self.classifier == NAIVE_BAYES:
@@ -77,8 +84,18 @@ class Engine:
             self._learned = rows
             self._linear = C.logistic_weights(C.fit_logistic(rows, epochs, seed, **self.sgd)) if not rows.isEmpty() else None
 
+    def sources(self) -> DataFrame:
+        """(seq, source): the encrypted public text of what was learned; only in the ENCRYPTED_SOURCE mode."""
+        if self._aes is None:
+            raise ValueError("this engine keeps no sources")
+        return self._sources if self._sources is not None else self.spark.createDataFrame([], "seq long, source binary")
+
+    def open_sources(self) -> DataFrame:
+        """(seq, text), decrypted."""
+        return self.sources().select("seq", self._aes.decrypt(F.col("source")).cast("string").alias("text"))
+
     def forget(self) -> None:
-        self._bayes = self._linear = self._learned = None
+        self._bayes = self._linear = self._learned = self._sources = None
         self.store.clear()
 
     @property

@@ -238,3 +238,23 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("labelled").count() == 4
+
+
+def test_privacy(spark):
+    with pytest.raises(ValueError):
+        Engine(spark, SCHEMA, KEY, privacy="ENCRYPTED_SOURCE")
+    with pytest.raises(ValueError):
+        Engine(spark, SCHEMA, KEY).sources()
+    engine = Engine(spark, SCHEMA, KEY, privacy="ENCRYPTED_SOURCE", source_key=bytes(range(32)))
+    assert engine.sources().count() == 0
+    engine.learn(records(spark, ROWS))
+    assert sorted(r.text for r in engine.open_sources().collect()) == sorted(r[0] for r in ROWS)
+    assert not any(b"rent" in bytes(r.source) for r in engine.sources().collect())
+
+
+def test_records_of_different_shapes(spark):
+    df = spark.createDataFrame([(1, {"purpose": "rent", "category": "h"}), (2, {"purpose": "x", "note": "n", "category": "h"}), (3, {})], "i int, m map<string,string>")
+    got = {r.i: (r.errors, r.warnings) for r in S.validate(S.from_maps(df, "m", SCHEMA, keep=("i",)), SCHEMA, ignore=("i",), unknown_col="unknown_fields").collect()}
+    assert got[1] == ([], ["missing field 'iban'"])
+    assert got[2][1] == ["missing field 'iban'", "unknown field 'note' is not declared in the schema"]
+    assert got[3][0] == ["missing or blank label field 'category'"]

@@ -21,8 +21,16 @@ HASHING = HashingConfig(1, 2)
 KEY = bytes(range(32))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out an input that comes in fewer partitions than there are cores (one small file, say), so that
+    the work per row isn't done by one task.  Larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "orders", "events") else df
 
 
 # -- inputs that several queries share ----------------------------------------------------------

@@ -16,9 +16,11 @@ adds up differences on its way down and drops a whole group as soon as the sum e
 radius.  Groups that are in the searching fingerprint's component already are dropped, too, and a task
 gives only a spanning star of each component, never all pairs of a group.
 
-``near_dedup`` works with a similarity: fingerprints of 256 bits over five-word shingles, linked where at most 42 bits differ: an
-estimate of a Jaccard similarity of 0.8 or more.  No pigeonhole reaches so far, so candidates share one of 32
-keys of 16 bits (a pair at 0.9 does with 99.8 %, at 0.85 with 98 %, at 0.8 with 91 %); in a bucket the same tree decides exactly.
+``near_dedup`` works with a similarity: two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or
+more.  Fingerprints of 256 bits over the distinct shingles name the candidates: at most 72 bits differ (a similarity of about 0.5), and one of 32
+keys of 16 bits is shared (a pair at 0.9 does with 99.8 %, at 0.85 with 98 %, at 0.8 with 91 %), or, where a text has up to 64
+shingles, one of the least fifth of its shingles, which every such pair shares.  Within each component of candidates
+the links are then decided on the shingle sets, and only these links make groups.
 
 Defined results: null and empty texts have fingerprint zero and are linked to each other; rows that
 repeat an id share one component if their texts do; a component of rows without id has a null component_id; an
@@ -298,8 +300,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # -- wide fingerprints, for a similarity instead of a distance -----------------------------------
 #: 256 bits; at a Jaccard similarity of 0.8 two texts differ in 15.2 % of them (the angle of 2 J / (1 + J)), which is 38.8 with a
-#: standard deviation of 5.7.  The radius lies above the mean, so that more pairs at 0.8 are found than lost.
-WIDE_WORDS, WIDE_WIDTH, WIDE_RADIUS, KEY_BITS, KEY_TABLES = 4, 5, 42, 16, 32
+#: standard deviation of 5.7; 4 of 5 shingles differ in 48 with one of 6.2.  The radius leaves out less than one in 10,000 of them.
+WIDE_WORDS, WIDE_WIDTH, WIDE_RADIUS, KEY_BITS, KEY_TABLES = 4, 5, 72, 16, 32
+#: Pairs whose smaller set has up to so many shingles are candidates by their shingles, too.
+SHORT = 64
+#: Members of a candidate component that are compared in one piece.
+GROUP_ROWS = 2_000
 
 
 def _remix(h: np.ndarray, k: int) -> np.ndarray:
@@ -310,17 +316,41 @@ def _remix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str, width: int = WIDE_WIDTH, words: int = WIDE_WORDS) -> np.ndarray:
-    """``words`` times 64 bits; each bit by the majority of the shingles."""
-    ones, n = np.zeros(64 * words, np.int64), 0
-    for h in shingle_hashes(text, width):
-        bits = np.stack([_remix(h, k) for k in range(words)], axis=1)
-        for at in range(0, len(h), 8192):
-            ones += np.unpackbits(bits[at : at + 8192].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
-        n += len(h)
+def shingle_set(text: str, width: int = WIDE_WIDTH) -> np.ndarray:
+    """The distinct shingles' hashes, in order."""
+    found = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _majority(shingles: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
+    ones, n = np.zeros(64 * words, np.int64), len(shingles)
+    for at in range(0, n, 8192):
+        bits = np.stack([_remix(shingles[at : at + 8192], k) for k in range(words)], axis=1)
+        ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
     return np.packbits(2 * ones > n, bitorder="little").view(np.uint64) if n else np.zeros(words, np.uint64)
 
 
+def wide_fingerprint(text: str, width: int = WIDE_WIDTH, words: int = WIDE_WORDS) -> np.ndarray:
+    """``words`` times 64 bits; each bit by the majority of the distinct shingles."""
+    return _majority(shingle_set(text, width), words)
+
+
+def least_fifth(shingles: np.ndarray) -> np.ndarray:
+    """Of two sets with a similarity of 0.8 or more, these parts have a shingle in common.  Nothing for large sets."""
+    n = len(shingles)
+    return shingles[: n - (4 * n + 4) // 5 + 1] if n <= SHORT * 5 // 4 else shingles[:0]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two ordered sets is 0.8 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 5 * common >= 4 * (len(both) - common)
+
+
 class WideTree:
     """The Gray-order tree over fingerprints of several words (rows of a matrix); the first word orders them."""
 
@@ -426,7 +456,7 @@ def wide_key_bits(words: int = WIDE_WORDS, bits: int = KEY_BITS, tables: int = K
 
 
 def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``nodes``: (node long, fp binary), distinct.  Edges between fingerprints that share one of the keys and differ
+    """``nodes``: (node long, fp binary, part binary: shingles that serve as keys), distinct.  Edges between fingerprints that share one of the keys and differ
     in at most ``radius`` bits.  A key above ``bucket_rows`` is dealt again by further keys."""
 
     def keyed(depth: int):
@@ -443,10 +473,14 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, words: int = WIDE
                     value = np.packbits(bits[:, t], axis=1).astype(np.uint64) @ (np.uint64(1) << (np.uint64(8) * np.arange((len(t) + 7) // 8, dtype=np.uint64)))
                     key = _remix(base.view(np.uint64) ^ (value + np.uint64((k + 1) << 32)), depth).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), b["node"], b["fp"]], ["key", "node", "fp"])
+                parts = b["part"].to_pylist()
+                of = pa.array(np.repeat(np.arange(len(parts)), [len(p) // 8 for p in parts]))
+                key = _remix(np.frombuffer(b"".join(parts), np.uint64) ^ base.view(np.uint64)[of.to_numpy()], 64 + depth).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b["node"].take(of), b["fp"].take(of)], ["key", "node", "fp"])
 
         return run
 
-    rows, depth, out = nodes.select("node", "fp", F.lit(0).cast("long").alias("base")), 0, None
+    rows, depth, out = nodes.select("node", "fp", "part", F.lit(0).cast("long").alias("base")), 0, None
     while True:
         each = rows.mapInArrow(keyed(depth), "key long, node long, fp binary")
         big = stage(each.groupBy("key").count().filter(F.col("count") > bucket_rows).select(F.col("key").alias("big")), "big-buckets")
@@ -456,24 +490,163 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, words: int = WIDE
         out = found if out is None else out.union(found)
         if none:
             return out
-        rows, depth = stage(each.join(big, F.col("key") == F.col("big")).select("node", "fp", F.col("key").alias("base")), "hot-rows"), depth + 1
+        rows, depth = stage(each.join(big, F.col("key") == F.col("big")).select("node", "fp", F.lit(b"").alias("part"), F.col("key").alias("base")), "hot-rows"), depth + 1
+
+
+def _held(batches, names: list[str], work):
+    """Calls ``work`` with the columns ``names`` of all rows of a key, one key after another; rows are sorted by key."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b["key"].to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for s, e in zip(cuts, cuts[1:]):
+            if held and held[0]["key"][0].as_py() != key[s]:
+                work(*([x for h in held for x in h[n].to_pylist()] for n in names))
+                held = []
+            held.append(b.slice(s, e - s))
+    if held:
+        work(*([x for h in held for x in h[n].to_pylist()] for n in names))
+
+
+def link_sets(names: np.ndarray, values: np.ndarray, sets: list[np.ndarray], label: np.ndarray, radius: int, forest: Forest) -> None:
+    """Adds the links of some members of a candidate component; pairs with one ``label`` are in one group already."""
+    order = np.argsort(gray_rank(values[:, 0]), kind="stable")
+    values, name, sets, given = values[order], names[order].tolist(), [sets[k] for k in order.tolist()], label[order]
+    tree, n, first = WideTree(values), len(values), 0
+    own = Forest()
+
+    def relabel():
+        label = np.array([own.find(x) for x in given.tolist()])
+        return np.unique(label, return_inverse=True)[1]
+
+    label = relabel()
+    same = tree.uniform(label)
+    while first < n - 1:
+        last = min(n - 1, first + max(1, min(64, 500_000 // n)))
+        i, j = tree.search(first, last, radius, label, same)
+        far, found = np.bitwise_count(values[i] ^ values[j]).sum(1, dtype=np.int64), False
+        for k in np.argsort(far, kind="stable").tolist():
+            a, b = int(i[k]), int(j[k])
+            x, y = int(given[a]), int(given[b])
+            if own.find(x) != own.find(y) and similar(sets[a], sets[b]):
+                own.join(x, y)
+                forest.join(name[a], name[b])
+                found = True
+        if found:
+            label = relabel()
+            same = tree.uniform(label)
+        first = last
+
+
+def _edges(forest: Forest) -> pa.RecordBatch:
+    a, b = forest.stars()
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _verify(radius: int, words: int):
+    """Runs over rows (key, node, label, fp, shingles) that are sorted by key."""
+
+    def run(batches):
+        forest = Forest()
+
+        def work(node, label, fp, shingles):
+            if len(node) > 1:
+                values = np.frombuffer(b"".join(fp), np.uint64).reshape(-1, words)
+                link_sets(np.array(node), values, [np.frombuffer(x, np.uint64) for x in shingles], np.array(label), radius, forest)
+
+        _held(batches, ["node", "label", "fp", "shingles"], work)
+        yield _edges(forest)
+
+    return run
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE_WIDTH, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The rows of ``df`` that stay: of each component of similar texts (five-word shingles, similarity of 0.8 or more as
-    the fingerprints estimate it) the one with the least id."""
+def _chain(batches):
+    """Links between neighbours of large components; rows (key, node, fp, shingles) are sorted by key and fp."""
+    forest, last = Forest(), []
+    for b in batches:
+        for key, node, s in zip(b["key"].to_pylist(), b["node"].to_pylist(), b["shingles"].to_pylist()):
+            s = np.frombuffer(s, np.uint64)
+            last = [x for x in last if x[0] == key][-3:]
+            for _, other, t in last:
+                if forest.find(node) != forest.find(other) and similar(s, t):
+                    forest.join(node, other)
+            last.append((key, node, s))
+    yield _edges(forest)
+
+
+def deal(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (key, node, label, ...) with keys of at most about ``most`` rows each, so that any two rows of a key with different
+    labels meet in a new key.  Larger keys are cut into blocks and each block meets each other one; blocks of one label don't meet."""
+    size = rows.groupBy("key", "label").count()
+    keys = size.groupBy(F.col("key").alias("big")).agg(F.sum("count").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("n") > most)
+    keys = stage(keys, "big-buckets")
+    if keys.isEmpty():
+        return rows
+    half = max(1, most // 2)
+    mixed = keys.filter("lo <> hi")
+    of = F.when(F.col("count") > half, F.struct(F.lit(True).alias("own"), F.col("label").alias("name"))).otherwise(F.struct(F.lit(False).alias("own"), F.lit(0).cast("long").alias("name")))
+    size = size.join(mixed, F.col("key") == F.col("big"), "left_semi").withColumn("of", of)
+    blocks = stage(size.groupBy("key", "of").agg(F.ceil(F.sum("count") / half).cast("int").alias("m")), "blocks")
+    block = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"), "of").select("key", F.struct("of", "p").alias("x"))
+    meet = block.join(block.select(F.col("key").alias("k"), F.col("x").alias("y")), (F.col("key") == F.col("k")) & (F.col("x") <= F.col("y")))
+    meet = meet.filter(~(F.col("x.of.own") & (F.col("x.of") == F.col("y.of"))))
+    side = meet.select("key", F.xxhash64("key", "x", "y").alias("to"), F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select(F.col("key").alias("s_key"), F.col("x.of").alias("s_of"), F.col("x.p").alias("s_p"), "to")
+    own = size.filter("of.own").select(F.col("key").alias("o_key"), F.col("label").alias("o_label"))
+    hot = rows.join(mixed, F.col("key") == F.col("big"), "left_semi").join(own, (F.col("key") == F.col("o_key")) & (F.col("label") == F.col("o_label")), "left")
+    name = F.struct(F.col("o_key").isNotNull().alias("own"), F.coalesce("o_label", F.lit(0).cast("long")).alias("name"))
+    hot = hot.select(*rows.columns, name.alias("is_of")).join(blocks.select(F.col("key").alias("b_key"), F.col("of").alias("b_of"), "m"), (F.col("key") == F.col("b_key")) & (F.col("is_of") == F.col("b_of")))
+    hot = hot.withColumn("at", F.expr("cast(pmod(xxhash64(node, 7), m) as int)"))
+    dealt = hot.join(side, (F.col("key") == F.col("s_key")) & (F.col("is_of") == F.col("s_of")) & (F.col("at") == F.col("s_p")))
+    fit = rows.join(keys, F.col("key") == F.col("big"), "left_anti")
+    return fit.union(dealt.select(F.col("to").alias("key"), *rows.columns[1:]))
+
+
+def exact_links(members: DataFrame, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``members``: staged (key: candidate component, node, fp, shingles).  Edges whose components are those of all pairs of a
+    candidate component with a similarity of 0.8 or more.  In a component above ``group_rows`` neighbours in order of their
+    fingerprints are linked first; what is in one group then isn't compared again."""
+    big = stage(members.groupBy("key").count().filter(F.col("count") > group_rows).select(F.col("key").alias("big")), "big-groups")
+    rows, first = members.withColumn("label", F.col("node")), None
+    if not big.isEmpty():
+        large = members.join(big, F.col("key") == F.col("big"), "left_semi").select("key", "node", "fp", "shingles")
+        first = stage(large.repartition("key", F.substring("fp", 1, 1)).sortWithinPartitions("key", "fp").mapInArrow(_chain, "a long, b long"), "chains")
+        group = connected_components(first).select(F.col("node").alias("g_node"), "component")
+        rows = stage(members.join(group, F.col("node") == F.col("g_node"), "left").withColumn("label", F.coalesce("component", "node")), "labels")
+    dealt = deal(rows.select("key", "node", "label", "fp", "shingles"), group_rows)
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius, words), "a long, b long")
+    return found if first is None else found.union(first)
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE_WIDTH, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The rows of ``df`` that stay: of each component of similar texts (five-word shingles, Jaccard similarity of 0.8 or more)
+    the one with the least id."""
 
     def run(batches):
         for b in batches:
-            fp = [wide_fingerprint(t, width).tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.binary()), b["h"]], ["doc_id", "fp", "h"])
+            sets = [shingle_set(t, width) for t in b["text"].to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            fp, part = [_majority(s).tobytes() for s in sets], [least_fifth(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(node), pa.array(fp, pa.binary()), pa.array(part, pa.binary()), b["h"]], ["doc_id", "node", "fp", "part", "h"])
+
+    def shingled(batches):
+        for b in batches:
+            sets = [shingle_set(t, width).tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["key"], b["node"], b["fp"], pa.array(sets, pa.binary())], ["key", "node", "fp", "shingles"])
 
     text = text_of(df[text_col])
     docs = df.select(df[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    base = stage(docs.mapInArrow(run, "doc_id long, fp binary, h long").withColumn("node", F.xxhash64("fp")), "fingerprints")
+    base = stage(docs.mapInArrow(run, "doc_id long, node long, fp binary, part binary, h long"), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    nodes = stage(base.groupBy("node").agg(F.first("fp").alias("fp"), F.min(first).alias("stay")), "nodes")
-    group = connected_components(similar_links(nodes.select("node", "fp"), radius, WIDE_WORDS, bucket_rows)).withColumnRenamed("node", "n")
+    nodes = stage(base.groupBy("node").agg(F.first("fp").alias("fp"), F.first("part").alias("part"), F.min(first).alias("stay")), "nodes")
+    near = connected_components(similar_links(nodes.select("node", "fp", "part"), radius, WIDE_WORDS, bucket_rows)).select(F.col("node").alias("n"), "component")
+    heads = near.select("component").distinct().select(F.col("component").alias("n"), "component")
+    members = nodes.join(near.union(heads).distinct(), F.col("node") == F.col("n")).select(F.col("component").alias("key"), "node", "fp", F.col("stay.doc_id").alias("m_id"), F.col("stay.h").alias("m_h"))
+    # one text of each member; rows that repeat an id and a text are equal in it
+    met = docs.join(stage(members, "members"), (F.col("h") == F.col("m_h")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("key", "node", "fp", "text")
+    sets = stage(met.mapInArrow(shingled, "key long, node long, fp binary, shingles binary").dropDuplicates(["node"]), "shingles")
+    group = connected_components(exact_links(sets, radius, WIDE_WORDS, group_rows)).withColumnRenamed("node", "n")
     named = nodes.join(group, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("stay").alias("stay"))
     stay = stage(named.select(F.col("stay.doc_id").alias("__stay_id"), F.col("stay.h").alias("__stay_h")), "stay")
     names = [f"c{i}" for i in range(len(df.columns))]

@@ -137,3 +137,51 @@ def test_near_dedup_follows_similarity(spark, bucket_rows):
     missed = sum(2 * k + 1 in kept for k in range(120) if jaccard(text[2 * k], text[2 * k + 1]) > 0.88)
     wrong = sum(2 * k + 1 not in kept for k in range(120) if jaccard(text[2 * k], text[2 * k + 1]) < 0.65)
     assert near >= 30 and far >= 30 and missed <= 0.03 * near and wrong <= 0.03 * far
+
+
+def exact_groups(texts):
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def repeated_and_short():
+    r = np.random.default_rng(5)
+    word = lambda n: [f"v{i}" for i in r.integers(0, 10**6, n)]
+    block, texts = word(14), []
+    for _ in range(12):  # different texts that repeat one block: similarity below 0.1
+        texts.append(" ".join(x for _ in range(20) for x in [*block, "|"]) + " " + " ".join(word(154)))
+    for _ in range(25):  # 4 of 5 shingles
+        t = word(9)
+        texts += [" ".join(t), " ".join(t[:8])]
+    for k in range(40):  # template with edits: similarities on both sides of 0.8
+        t = word(200)
+        texts.append(" ".join(t))
+        for c in range(1, 5):
+            u = list(t)
+            for at in r.choice(200, c + k % 4, replace=False):
+                u[at] = "edit"
+            texts.append(" ".join(u))
+    return texts
+
+
+@pytest.mark.parametrize("group_rows", [2_000, 4])
+def test_near_dedup_decides_on_shingle_sets(spark, group_rows):
+    texts = repeated_and_short()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in S.near_dedup(df, group_rows=group_rows).collect()}
+    want = {k for k, c in enumerate(exact_groups(texts)) if k == c}
+    assert set(range(12)) <= kept
+    assert not {k for k in range(12, 62) if (k in kept) != (k in want)}
+    assert len(kept ^ want) <= 3  # keys of longer texts miss some pairs near 0.8
+    assert want <= kept

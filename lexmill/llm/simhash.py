@@ -457,7 +457,8 @@ def wide_key_bits(words: int = WIDE_WORDS, bits: int = KEY_BITS, tables: int = K
 
 def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``nodes``: (node long, fp binary, part binary: shingles that serve as keys), distinct.  Edges between fingerprints that share one of the keys and differ
-    in at most ``radius`` bits.  A key above ``bucket_rows`` is dealt again by further keys."""
+    in at most ``radius`` bits.  The rows of a key above ``bucket_rows`` are dealt by further keys first, which finds most groups;
+    then blocks of the rows meet each other, so that no two rows of the key in different groups go uncompared."""
 
     def keyed(depth: int):
         tables = wide_key_bits(words, KEY_BITS, KEY_TABLES * (depth + 1))[KEY_TABLES * depth :]
@@ -480,7 +481,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, words: int = WIDE
 
         return run
 
-    rows, depth, out = nodes.select("node", "fp", "part", F.lit(0).cast("long").alias("base")), 0, None
+    rows, depth, out, hot = nodes.select("node", "fp", "part", F.lit(0).cast("long").alias("base")), 0, None, None
     while True:
         each = rows.mapInArrow(keyed(depth), "key long, node long, fp binary")
         big = stage(each.groupBy("key").count().filter(F.col("count") > bucket_rows).select(F.col("key").alias("big")), "big-buckets")
@@ -488,9 +489,18 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, words: int = WIDE
         fit = each if none else each.join(big, F.col("key") == F.col("big"), "left_anti")
         found = fit.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_link(radius, words), "a long, b long")
         out = found if out is None else out.union(found)
-        if none:
-            return out
+        if none or depth == 2:  # what is left is met by blocks
+            break
         rows, depth = stage(each.join(big, F.col("key") == F.col("big")).select("node", "fp", F.lit(b"").alias("part"), F.col("key").alias("base")), "hot-rows"), depth + 1
+        hot = rows if hot is None else hot
+    if hot is None:
+        return out
+    equal = hot.groupBy(F.col("fp").alias("e_fp")).agg(F.min("node").alias("b"))  # any number of sets can have one fingerprint
+    out = stage(out.union(hot.join(equal, F.col("fp") == F.col("e_fp")).select(F.col("node").alias("a"), "b")), "links")
+    group = connected_components(out).select(F.col("node").alias("g_node"), "component")
+    met = hot.join(group, F.col("node") == F.col("g_node"), "left").select(F.col("base").alias("key"), "node", F.coalesce("component", "node").alias("label"), "fp")
+    dealt = deal(stage(met, "hot-labels"), bucket_rows)
+    return out.union(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_link(radius, words), "a long, b long"))
 
 
 def _held(batches, names: list[str], work):

@@ -185,3 +185,18 @@ def test_near_dedup_decides_on_shingle_sets(spark, group_rows):
     assert not {k for k in range(12, 62) if (k in kept) != (k in want)}
     assert len(kept ^ want) <= 3  # keys of longer texts miss some pairs near 0.8
     assert want <= kept
+
+
+def test_large_buckets_are_searched_whole(spark):
+    r = np.random.default_rng(8)
+    key = S.wide_key_bits()[0]
+    bits = r.integers(0, 2, (60, 256)).astype(np.uint8)
+    bits[:, key] = bits[0, key]  # all share this key
+    twin = bits.copy()
+    rest = [b for b in range(256) if b not in key]
+    for row in twin:
+        row[r.choice(rest, 70, replace=False)] ^= 1
+    fp = np.packbits(np.concatenate([bits, twin]), axis=1, bitorder="little")
+    df = spark.createDataFrame([(k, bytearray(f.tobytes()), bytearray()) for k, f in enumerate(fp)], "node long, fp binary, part binary").repartition(3)
+    groups = [{(x.node, x.component) for x in S.connected_components(S.similar_links(df, bucket_rows=n)).collect()} for n in (20_000, 10)]
+    assert groups[0] == groups[1] and len(groups[0]) >= 60

@@ -4,7 +4,7 @@ Pass 1 parses every page and scores its containers: the characters of the text b
 a block counting in full for its parent and by half for each step further up.  A container's name is its *generalised
 path*: tags and classes from the body down, digits replaced.  Spark adds the scores of a path over
 all pages of a host (partial aggregates, so a host with a third of all pages costs no more than others) and
-ranks the paths of each host.  Pass 2 parses the page again and extracts the best-ranked path that it
+ranks all paths of each host.  Pass 2 parses the page again and extracts the best-ranked path that it
 has; a page that has none of them, or no text there, falls back to its own best container, then to its body.
 
 In the extracted container menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
@@ -25,13 +25,12 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import stage, text_of
 
-#: Paths that a host keeps in its ranking.
-PATHS_PER_HOST, PATHS_PER_PAGE, DECAY, DEPTH = 5, 6, 0.5, 32
+DECAY, DEPTH = 0.5, 32
 
 # -- fixed values: HTML's own lists -------------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -286,8 +285,7 @@ def _score(batches):
     for b in batches:
         rows = []
         for i, h, host, page in zip(*(b[c].to_pylist() for c in ("id", "h", "host", "html"))):
-            best = sorted(containers(parse(page)).items(), key=lambda x: (-x[1], x[0]))[:PATHS_PER_PAGE] if page else []
-            rows += [(i, h, host, p, s) for p, s in best]
+            rows += [(i, h, host, p, s) for p, s in containers(parse(page)).items()] if page else []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))], names)
 
@@ -305,10 +303,10 @@ def extract_main(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[url_col], page).alias("h"), df[url_col].cast("string").alias("url"), page.alias("html"))
     votes = stage(pages.select("id", "h", host_of(F.col("url")).alias("host"), "html").mapInArrow(_score, "id long, h long, host string, path string, score double"), "paths")
     totals = votes.groupBy("host", "path").agg(F.sum("score").alias("total"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.round("total", 3).desc(), "path"))
-    winners = totals.withColumn("place", place).filter(F.col("place") <= PATHS_PER_HOST).select(F.col("host").alias("w_host"), F.col("path").alias("w_path"), "place")
+    # all paths of a host are ranked, by (total, path); a page compares those that it has
+    ranks = totals.select(F.col("host").alias("w_host"), F.col("path").alias("w_path"), F.round("total", 3).alias("total"))
     # the host's paths that a page has, best first; decided on these small rows, not on html
-    chosen = votes.join(winners, (F.col("host") == F.col("w_host")) & (F.col("path") == F.col("w_path")))
-    chosen = chosen.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("place", "path"))).alias("r")).select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), F.col("r.path").alias("ranked"))
+    chosen = votes.join(ranks, (F.col("host") == F.col("w_host")) & (F.col("path") == F.col("w_path")))
+    chosen = chosen.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct((-F.col("total")).alias("less"), "path"))).alias("r")).select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), F.col("r.path").alias("ranked"))
     met = pages.join(stage(chosen, "ranked"), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
     return met.select("id", "url", "html", "ranked").mapInArrow(_extract, "id long, url string, text string, n_chars long").withColumnRenamed("id", "page_id")

@@ -52,3 +52,17 @@ def test_odd_rows(spark):
     got = H.extract_main(df).collect()
     assert sorted((r.page_id or -1, r.text, r.n_chars) for r in got) == [(-1, "", 0), (1, "x", 1), (1, "x", 1), (2, "", 0), (3, "", 0)]
     assert H.extract_main(df.limit(0)).count() == 0
+
+
+def test_any_path_of_a_host_may_win(spark):
+    def page(k):
+        article = "".join(f"<p>Article {k} part {j} " + "word " * 12 + "</p>" for j in range(4))
+        nested = ""
+        for j in range(8 if k == 0 else 0):
+            nested = f"<div class='cmt'><p>reader {j} " + "thing " * 65 + f"</p>{nested}</div>"
+        return f"<html><body><div class='wrap'><div class='story'>{article}</div></div><div class='disc'>{nested}</div></body></html>"
+
+    assert sorted(H.containers(H.parse(page(0))).items(), key=lambda x: -x[1])[6:]
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(60)]
+    got = {r.page_id: r.text for r in H.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[0].startswith("Article 0 part 0") and "reader" not in got[0]

@@ -107,12 +107,27 @@ def response(url: str | None, body: bytes, date: str = DATE, content_type: str =
 
 
 # -- from a response to its derivatives ---------------------------------------------------------
-def _payload(block: bytes) -> tuple[str, tuple[tuple[str, str], ...], bytes]:
-    """Status line, HTTP headers and the decoded payload."""
+def _inflate(body: bytes, wbits: int) -> tuple[bytes, bool]:
+    """All members of a compressed payload, and whether it ends before its end or in something else."""
+    out, cut = [], False
+    while body:
+        member = zlib.decompressobj(wbits)
+        try:
+            out.append(member.decompress(body))
+        except zlib.error:
+            if not out:
+                raise
+            return b"".join(out), True
+        cut, body = not member.eof, member.unused_data.lstrip(b"\0")
+    return b"".join(out), cut
+
+
+def _payload(block: bytes) -> tuple[str, tuple[tuple[str, str], ...], bytes, bool]:
+    """Status line, HTTP headers, the decoded payload and whether its coding was cut off."""
     stream = io.BytesIO(block)
     status = stream.readline().decode("latin-1").strip()
     if not status.startswith("HTTP/"):
-        return "", (), block
+        return "", (), block, False
     lines = []
     while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
         lines.append(line)
@@ -120,15 +135,15 @@ def _payload(block: bytes) -> tuple[str, tuple[tuple[str, str], ...], bytes]:
     of = {k.lower(): v.lower() for k, v in headers}
     if "chunked" in of.get("transfer-encoding", ""):
         body = _unchunk(body)
-    coding = of.get("content-encoding", "")
+    coding, cut = of.get("content-encoding", ""), False
     try:
         if "gzip" in coding:
-            body = zlib.decompressobj(47).decompress(body)
+            body, cut = _inflate(body, 47)
         elif "deflate" in coding:
-            body = zlib.decompressobj(-15 if body[:1] and body[0] & 15 != 8 else 15).decompress(body)
+            body, cut = _inflate(body, -15 if body[:1] and body[0] & 15 != 8 else 15)
     except zlib.error:
         pass  # sent without the coding that its header names
-    return status, headers, body
+    return status, headers, body, cut
 
 
 def _unchunk(body: bytes) -> bytes:
@@ -174,7 +189,7 @@ def derive(source: Record) -> list[Record]:
     if (source.get("WARC-Type") or "").lower() != "response":
         return []
     rid = source.get("WARC-Record-ID") or named_id("response", source.get("WARC-Target-URI") or "", digest(source.block))
-    status, http, body = _payload(source.block)
+    status, http, body, cut = _payload(source.block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = _charset(kind, body)
     page = body.decode(charset, "replace")
@@ -189,7 +204,7 @@ def derive(source: Record) -> list[Record]:
     link = ("WARC-Refers-To", rid)
     conversion = Record((("WARC-Type", "conversion"), ("WARC-Record-ID", conversion_id), link, *kept, ("WARC-Block-Digest", digest(data)), ("Content-Type", "text/plain; charset=utf-8"), ("Content-Length", str(len(data)))), data)
     fields = [("conversion-record-id", conversion_id), ("http-status", status), ("content-type", kind), ("charset", charset), ("title", title), ("text-characters", str(len(text))), ("source-payload-digest", source.get("WARC-Payload-Digest") or digest(body)), ("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block))]
-    fields += [("outlink", x) for x in outlinks] + [("source-warc-header", f"{k}: {v}") for k, v in source.headers] + [("source-http-header", f"{k}: {v}") for k, v in http]
+    fields += [("payload-truncated", "content-encoding")] * cut + [("outlink", x) for x in outlinks] + [("source-warc-header", f"{k}: {v}") for k, v in source.headers] + [("source-http-header", f"{k}: {v}") for k, v in http]
     data = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     metadata = Record((("WARC-Type", "metadata"), ("WARC-Record-ID", named_id(rid, "metadata")), link, *kept, ("WARC-Concurrent-To", conversion_id), ("WARC-Block-Digest", digest(data)), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(data)))), data)
     return [metadata, conversion]
@@ -252,7 +267,8 @@ def derived_records(df: DataFrame, record_col: str = "record") -> DataFrame:
             made = []
             for data in b["record"].to_pylist():
                 try:
-                    made += [r.encode() for source in records(io.BytesIO(data or b"")) for r in derive(source)]
+                    for source in records(io.BytesIO(data or b"")):
+                        made += [r.encode() for r in derive(source)]
                 except ValueError:
                     continue  # listed by derivatives()
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])

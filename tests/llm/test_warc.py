@@ -59,3 +59,16 @@ def test_broken_records(spark):
     df = spark.createDataFrame([(1, good[:-20]), (2, b"nonsense"), (3, None), (4, b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n" + good)], "i int, record binary")
     got = sorted((r.i, r.warc_type) for r in W.derivatives(df, carry=("i",)).collect())
     assert got == [(1, "error"), (2, "error"), (4, "conversion"), (4, "metadata")]
+
+
+@pytest.mark.parametrize("body,text,cut", [(gzip.compress(b"<p>one") + gzip.compress(b" two"), "one two", False), (gzip.compress(b"<p>one") + gzip.compress(b" two")[:-8], "one two", True)])
+def test_gzip_members(body, text, cut):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: gzip\r\n\r\n" + body
+    metadata, conversion = W.derive(W.Record((("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("Content-Length", str(len(block)))), block))
+    assert conversion.block.decode() == text and (b"payload-truncated" in metadata.block) == cut
+
+
+def test_records_before_a_damaged_one_are_written(spark):
+    good = W.response("http://a/1", b"x").encode()
+    df = spark.createDataFrame([(bytearray(good + good[:-20]),)], "record binary")
+    assert W.derived_records(df).count() == 2

@@ -66,15 +66,26 @@ def segments(text: str) -> list[str]:
     return out
 
 
+def plain_byte_level(spec: dict) -> str:
+    """Why a tokenizer file can't be encoded segment by segment; "" if it can."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or not pre.get("use_regex", True):
+        return "not a plain byte-level BPE file"
+    for t in spec.get("added_tokens", []):
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or any(c in SPACES for c in t["content"]):
+            return "added tokens with white space, single_word, lstrip or rstrip are not supported"
+    return ""
+
+
 class Bpe:
     """Encoder and decoder for one tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or not pre.get("use_regex", True):
-            raise ValueError(f"not a plain byte-level BPE file: {path}")
+        if why := plain_byte_level(spec):
+            raise ValueError(f"{why}: {path}")
+        model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         letters = byte_alphabet()
         back = {c: b for b, c in letters.items()}
@@ -91,8 +102,6 @@ class Bpe:
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
         self.added: dict[str, int] = {}
         for t in spec.get("added_tokens", []):
-            if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
-                raise ValueError("added tokens with single_word, lstrip or rstrip are not supported")
             self.added[t["content"]] = t["id"]
             self.bytes_of[t["id"]] = t["content"].encode()
         self.decimal = {i: str(i) for i in self.bytes_of}

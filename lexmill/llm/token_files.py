@@ -16,12 +16,15 @@ Documents come in ascending order of their ids (null first).  Spark deals them o
 shards under names of its own, and only the rows that a finished task returns (the manifest, kept as Parquet) make
 a shard part of the set: what a lost task left behind is never read.
 
-Defined results: null and empty texts have the end id alone; rows that repeat an id are documents of
-their own; an empty table has no shard; a null doc_id is kept as null.
+Defined results: null and empty texts have the end id alone; texts of any length are encoded whole (a long one is a block by
+itself, and its ids run over many blocks of the file); rows that repeat an id are documents of
+their own, in the order of a hash of their texts (equal rows are equal in everything that is written); an empty table has no shard;
+a null doc_id is kept as null; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -29,16 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.bpe import CACHE, segments
+from lexmill.llm.bpe import SPACES, byte_alphabet, plain_byte_level
 from lexmill.llm.common import new_path, stage, text_of
 
 MAGIC, VERSION, HEAD, FOOT = b"LMTK", 1, struct.Struct("<4sHHI"), struct.Struct("<QQQQQ4s")
 BYTE_PLANES, BIT_PLANES = 4, 32
 BLOCK_IDS, SHARD_IDS, END_ID, LEVEL = 1 << 16, 1 << 24, 0, 3
 
+#: Bytes of text that are encoded together, words in one string for the library.
+BLOCK_BYTES, JOINED = 32_000_000, 1024
+_BLANK_SPACE, _BLANK_END = "[" + "".join(SPACES) + "] ", "^$|[" + "".join(SPACES) + "]$"
+
 
 # -- planes ------------------------------------------------------------------------------------
 def to_planes(ids: np.ndarray, kind: int) -> list[bytes]:
@@ -174,8 +182,11 @@ class ShardReader:
 
 # -- encoding with the library -----------------------------------------------------------------
 class LibraryEncoder:
-    """Ids as bytes.  The library encodes every distinct segment (see ``bpe.segments``) once; the table of
-    segments is emptied when it is full."""
+    """Ids by the tokenizers library.
+
+    For plain byte-level files a block of texts is cut before every space, and Arrow's dictionary encoding finds its distinct words.
+    These go to the library, many in one string: as no token but a word's first one starts with a space, the ids fall apart at the tokens
+    that do.  A text with white space before a space, and every text of another kind of file, is encoded as it is."""
 
     def __init__(self, path: str):
         import os
@@ -183,28 +194,68 @@ class LibraryEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], chars: int = 1_000_000) -> Iterator[bytes]:
-        at = 0
+        self.plain = not plain_byte_level(spec)
+        if self.plain:
+            blank, vocab = byte_alphabet()[0x20], spec["model"]["vocab"]
+            added = [t["id"] for t in spec.get("added_tokens", [])]
+            self.opens = np.zeros(max([*vocab.values(), *added]) + 1, bool)
+            self.opens[[i for t, i in vocab.items() if t.startswith(blank)]] = True
+            self.opens[added] = False
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_space(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of " " + word for each word, all in a row, and the number of each word's."""
+        cuts = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(0, len(words) + JOINED, JOINED), len(words)), pa.int32()), words)
+        flat, sizes = [], []
+        for ids, cut in zip(self._library([" " + x for x in pc.binary_join(cuts, " ").to_pylist()] if len(words) else []), pc.list_value_length(cuts).to_pylist()):
+            start = np.flatnonzero(self.opens[ids])
+            if len(start) != cut:
+                raise AssertionError("a token inside a word starts with a space")
+            flat.append(ids)
+            sizes.append(np.diff(start, append=len(ids)))
+        return flat, sizes
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts and where each text's begin (one more at the end)."""
+        parts = pc.split_pattern(texts, " ")
+        edge, words = parts.offsets.to_numpy(), parts.values
+        code = words.dictionary_encode()
+        heads = words.take(pa.array(edge[:-1])).dictionary_encode()  # a text's first word has no space before it
+        spot, n = code.indices.to_numpy().copy(), len(code.dictionary)
+        spot[edge[:-1]] = n + heads.indices.to_numpy()
+        odd = pc.match_substring_regex(code.dictionary, _BLANK_END)  # these can't stand before another word
+        flat, sizes = self._after_space(code.dictionary.filter(pc.invert(odd)))
+        alone = self._library([" " + x for x in code.dictionary.filter(odd).to_pylist()] + heads.dictionary.to_pylist())
+        flat += alone
+        sizes.append(np.array([len(x) for x in alone], np.int64))
+        place = np.arange(n + len(heads.dictionary))  # a word's place among those sizes
+        mark = odd.to_numpy(zero_copy_only=False)
+        place[:n] = np.where(mark, (n - mark.sum()) + np.cumsum(mark) - 1, np.cumsum(~mark) - 1)
+        table = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))]), pa.array(np.concatenate([*flat, np.empty(0, "<u4")])))
+        taken = table.take(pa.array(place[spot]))
+        return taken.values.to_numpy(), taken.offsets.to_numpy()[edge]
+
+    def encode(self, texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
+        """The ids of each text (none is null), in blocks of about ``size`` bytes."""
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
         while at < len(texts):
-            cut, size = [], 0
-            while at < len(texts) and (not cut or size < chars):
-                cut.append(segments(texts[at]))
-                size += len(texts[at])
-                at += 1
-            fresh = list({s for c in cut for s in c if s not in self.known})
-            if len(self.known) + len(fresh) > CACHE:
-                self.known = {}
-                fresh = list({s for c in cut for s in c})
-            for s, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                self.known[s] = np.array(e.ids, "<u4").tobytes()
-            get = self.known.__getitem__
-            for c in cut:
-                yield b"".join(map(get, c))
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            part = texts.slice(at, last - at)
+            whole = pc.match_substring_regex(part, _BLANK_SPACE) if self.plain else pa.array(np.ones(len(part), bool))
+            here = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+            ids, edge = self._block(part.take(pa.array(here)) if len(here) < len(part) else part) if len(here) else (None, None)
+            place = dict(zip(here.tolist(), range(len(here)))) if len(here) < len(part) else None
+            for k in range(len(part)):
+                j = k if place is None else place.get(k)
+                yield self._library([part[k].as_py()])[0] if j is None else ids[edge[j] : edge[j + 1]]
+            at = last
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -226,7 +277,7 @@ def write_tokens(df: DataFrame, tokenizer: str, at: str | None = None, id_col: s
         partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.withColumn("part", F.spark_partition_id())
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], "<u4")
     schema = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
     def run(batches):
@@ -236,10 +287,10 @@ def write_tokens(df: DataFrame, tokenizer: str, at: str | None = None, id_col: s
             if not b.num_rows:
                 continue
             part = b["part"][0].as_py()
-            for i, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"].to_pylist())):
+            for i, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"])):
                 if shard is None:
                     shard = ShardWriter(f"{at}/{part:06d}-{number:04d}-{uuid.uuid4().hex[:8]}.tok", kind)
-                shard.add(i, ids + end)
+                shard.add(i, np.concatenate([ids, end]).tobytes())
                 if shard.n_ids >= SHARD_IDS:
                     done.append(shard.close() | {"part": part * 10_000 + number})
                     shard, number = None, number + 1

@@ -49,3 +49,28 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "x"), (3, "y"), (3, "y"), (None, None)], "doc_id long, text string")
     got = T.read_tokens(T.write_tokens(df, tokenizer_path())).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == [(-1, 1), (-1, 2), (3, 2), (3, 2)]
+
+
+def test_block_encoder_matches_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_path())
+    texts = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n", "a\n b", "a\t\tb c", "\n\n", "x\n\ny z\n", "don't  'tis", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "ünï cödé 中文 ", "é  x y", "  b", "\x1c x", "Ġ ĠĠ x", "0 12 345.6 ", "word " * 3000]
+    r = np.random.default_rng(5)
+    texts += ["".join(r.choice(list("ab '.\n\t1é")) for _ in range(int(n))) for n in r.integers(1, 60, 400)]
+    texts += [" ".join("".join(r.choice(list("abc'é.,1"), int(k))) for k in r.integers(1, 6, 200)) for _ in range(20)]
+    encoder = T.LibraryEncoder(tokenizer_path())
+    for size in (1, 50, 1_000_000):
+        got = list(encoder.encode(pa.array(texts), size))
+        assert [g.tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.plain = False
+    assert [g.tolist() for g in encoder.encode(pa.array(texts[:30]))] == [lib.encode(t, add_special_tokens=False).ids for t in texts[:30]]
+    assert list(encoder.encode(pa.array([], pa.string()))) == []
+
+
+def test_very_long_text(spark):
+    rows = [(1, "word, another " * 60_000, 5), (2, "x", 6), (2, "x", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in T.read_tokens(T.write_tokens(df, tokenizer_path())).collect())
+    assert got == [(1, 0, 180_002), (2, 180_002, 2), (2, 180_004, 2)]

@@ -106,7 +106,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.substring_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
 QUERIES |= {"op8_minhash": op8_minhash, "op9_substring_dedup": op9_substring_dedup}

@@ -33,14 +33,38 @@ def test_gram_hashes_agree():
         assert (g[200 : 250 - n + 1] == g[20 : 70 - n + 1]).all()
 
 
-def test_deep_nodes():
-    words = b"a b c a b d a b c x a b".split()
-    node = D.deep_nodes(words, 3)
-    for i in range(len(words)):
-        for j in range(len(words)):
-            if i + 3 <= len(words) and j + 3 <= len(words):
-                assert (node[i] == node[j]) == (words[i : i + 3] == words[j : j + 3])
-    assert (node[-2:] == -1).all()
+def test_suffix_tree():
+    r = np.random.default_rng(4)
+    segments = [[b"abc"[k : k + 1] for k in r.integers(0, 3, int(n))] for n in r.integers(0, 12, 12)] + [[b"x"] * 300, [b"x"] * 140]
+    tree = D.SuffixTree(segments, 3)
+    suffixes = [segments[s][p:] for s, p in zip(tree.segment, tree.place)]
+    assert len(suffixes) == sum(max(0, len(s) - 2) for s in segments)
+    for k in range(1, len(suffixes)):
+        a, b = suffixes[k - 1], suffixes[k]
+        common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert tree.shared[k] == min(127, common)
+    node = tree.nodes(3)
+    for i in range(0, len(suffixes), 7):
+        for j in range(0, len(suffixes), 5):
+            assert (node[i] == node[j]) == (suffixes[i][:3] == suffixes[j][:3])
+
+
+def test_maximal_repeats():
+    r = np.random.default_rng(9)
+    segments = [[b"ab"[k : k + 1] for k in r.integers(0, 2, 25)] for _ in range(3)]
+    got = {b"".join(w): n for w, n in D.maximal_repeats(segments, 4)}
+    spots = {}
+    for s, x in enumerate(segments):
+        for i in range(len(x)):
+            for j in range(i + 4, len(x) + 1):
+                spots.setdefault(b"".join(x[i:j]), []).append((s, i, j))
+    want = {}
+    for w, at in spots.items():
+        before = {segments[s][i - 1] if i else (s, "start") for s, i, _ in at}
+        after = {segments[s][j] if j < 25 else (s, "end") for s, _, j in at}
+        if len(at) > 1 and len(before) > 1 and len(after) > 1:
+            want[w] = len(at)
+    assert got == want and len(want) > 5
 
 
 def corpus(seed):
@@ -67,10 +91,27 @@ def test_matches_brute_force(spark, seed, group_rows):
     got = sorted((x.doc_id if x.doc_id is not None else 1 << 70, x.n_words, x.n_removed, x.kept_sha256) for x in D.remove_repeats(df, group_rows=group_rows).collect())
     assert got == brute(rows, 50)
     assert sum(x[2] for x in got) > 1000
+    assert not group_rows < 9 or D.remove_repeats(df, group_rows=group_rows).filter("n_removed > 0").count() > 5
+    whole = D.remove_repeats(df, group_rows=group_rows, texts=True).collect()
+    assert got == sorted((x.doc_id if x.doc_id is not None else 1 << 70, x.n_words, x.n_removed, x.kept_sha256) for x in whole)
+    for x in whole:
+        assert hashlib.sha256(x.kept.encode()).hexdigest() == x.kept_sha256 and x.n_removed == sum(s["last"] - s["first"] + 1 for s in x.removed)
+
+
+def test_hot_window_and_very_long_text(spark):
+    r = np.random.default_rng(7)
+    text = lambda n: " ".join(f"v{i}" for i in r.integers(0, 3000, n))
+    hot, copy = text(64), text(90)
+    rows = [(i, f"{text(30)} {hot} {text(20)}") for i in range(0, 240, 2)] + [(i, copy) for i in range(1, 160, 2)]
+    rows += [(500, f"{text(60_000)} {hot}"), (501, " ".join([text(200)] * 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for group_rows in (20, 1000):
+        got = sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in D.remove_repeats(df, group_rows=group_rows).collect())
+        assert got == brute(rows, 50)
 
 
 def test_odd_tables(spark):
-    df = spark.createDataFrame([(1, "a b " * 40, 1, "x"), (1, "a b " * 40, 1, "x"), (2, "a b " * 40, 2, "y")], "doc_id long, text string, did int, copy string")
+    df = spark.createDataFrame([(1, "a b " * 40, 1, "x"), (1, "a b " * 40, 1, "x"), (2, "a b " * 40, 2, "y")], "doc_id long, text string, did int, th string")
     got = sorted((x.doc_id, x.n_removed) for x in D.remove_repeats(df).collect())
     assert got == [(1, 0), (1, 0), (2, 80)]
     assert D.remove_repeats(df.limit(0)).count() == 0

@@ -73,3 +73,14 @@ def tie_hash(df: DataFrame, *but: str) -> Column:
 
     names = [f.name for f in df.schema.fields if f.name not in but and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     return F.xxhash64(*[df[n] for n in names]) if names else F.lit(0).cast("long")
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, by: str, salts: int = 32) -> DataFrame:
+    """``rows`` with the columns of ``small`` (one row for each value of its column ``key``), inner.  The rows of a value are dealt out by a hash of
+    their column ``by`` over ``salts`` keys, and ``small`` goes to those that occur, so that a hot value is not one task's work.  Both
+    tables' other columns have names of their own."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    small = small.withColumnRenamed(key, "__small")
+    places = salted.select(F.col(key).alias("__key"), F.col("__salt").alias("__place")).distinct()
+    places = places.join(small, F.col("__key") == F.col("__small")).drop("__small")
+    return salted.join(places, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__place"))).drop("__salt", "__key", "__place")

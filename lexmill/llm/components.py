@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps on a table of edges.
 
 Each step joins every edge with the least neighbour of one of its ends; the minima are
-partial aggregates, so a node with very many edges is reduced before the shuffle, and its join
-is a plain equi-join that adaptive execution may split.  Every round is written to the shared folder; nothing but
+partial aggregates, so a node with very many edges is reduced before the shuffle, and in the join its edges are
+dealt out over many keys (``spread_join``).  Every round is written to the shared folder; nothing but
 two numbers a round comes to the driver.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop, stage
+from lexmill.llm.common import drop, spread_join, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _mark(cur)
     while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        met = large.join(low, F.col("a") == F.col("u"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = spread_join(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        met = spread_join(large, low, "a", "b")
         small = met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         nxt = stage(small, "edges")
         mark = _mark(nxt)

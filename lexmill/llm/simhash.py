@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import stage, text_of
+from lexmill.llm.common import spread_join, stage, text_of
 from lexmill.llm.components import connected_components
 
 WIDTH, RADIUS, BUCKET_ROWS, FANOUT, SEED = 4, 4, 20_000, 8, 42
@@ -287,8 +287,8 @@ def components(base: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_
     group = connected_components(links(nodes.select("fp"), radius, bucket_rows))
     named = nodes.join(group, F.col("fp") == F.col("node"), "left").select("fp", "least", "stay", F.coalesce("component", "fp").alias("component"))
     named = stage(named, "named")
-    best = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("stay").alias("stay")).withColumnRenamed("component", "c")
-    return named.select("fp", "component").join(best, F.col("component") == F.col("c")).select("fp", "component_id", "stay")
+    best = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("stay").alias("stay"))
+    return spread_join(named.select("fp", "component"), best, "component", "fp").select("fp", "component_id", "stay")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

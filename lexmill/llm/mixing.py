@@ -10,13 +10,15 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 words; none gets more than twice its own words, and the excess is shared again by weight, which ends at the
 water-filling level ``least(cap, level * weight)``.
 
-Scale: a source can hold a third of all rows, so its sort is split into buckets by the key's
-distribution function, about ``rows_per_bucket`` rows each; bucket totals are prefix-summed per source and added
-to the sums within the buckets.  Only ids and sizes are shuffled, never texts.
+Scale: a source can hold a third of all rows, so its rows fall into bins by the distribution function of their keys (a mixture over classes of the
+quality weight, about ``sqrt(n)`` bins of equal numbers of rows each, whatever the weights are).  Bin totals are prefix-summed per source; whole
+bins are taken up to the one in which the target is reached, and only that bin is sorted.  Only ids and sizes are shuffled, never texts
+(``mixed_rows``, which repeats rows, moves each row once).  The targets need an order of all sources: one row a source, in one task.
 
-Defined results: a null text has no words; an empty source has target 0; a row without an id
+Defined results: a null text has no words; texts of any length are counted whole; an empty source has target 0; documents with
+equal keys come in the order of id and size; a row without an id
 shares the key of the other rows without id of its source; rows that repeat an id are rows of their own; an empty table
-gives an empty table.
+gives an empty table; other columns, whatever their names, are not read by ``mix`` and are kept by ``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import WS_CLASS, stage, text_of
 
-WEIGHTS, SHARE, CAP, SEED, ROWS_PER_BUCKET = (5, 2, 1), 1.5, 2, 7, 2000
+WEIGHTS, SHARE, CAP, SEED, CLASSES = (5, 2, 1), 1.5, 2, 7, 32
 
 #: Characters that prose rarely has; their share lowers a document's quality weight.
 SYMBOLS = "!#$%&*|~^=+<>{}"
@@ -64,27 +66,37 @@ def targets(sizes: DataFrame) -> DataFrame:
     return marked.select("source", "source_size", F.least(F.col("__cap"), F.coalesce(F.col("__top") * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, rows_per_bucket: int = ROWS_PER_BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, epochs (and ``carry``)."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, rows_per_bin: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, epochs (and ``carry``).
+
+    ``rows_per_bin``: about how many rows a bin gets; the square root of the source's rows if None."""
     text = text_of(df[text_col])
-    base = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), word_count(text).alias("size"), sample_key(df[id_col], quality_weight(text), seed).alias("key"), *[df[c].alias(f"__c_{c}") for c in carry])
-    base = stage(base, "sizes")
-    per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    per_source = stage(targets(per_source.select("source", "source_size")).join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
-    buckets = F.ceil(F.col("n") / rows_per_bucket)
-    placed = base.join(per_source.select(F.col("source").alias("s"), buckets.alias("b")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("bucket", F.least(F.col("b") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("b")))).drop("b")
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-    sums = sums.join(per_source.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("bucket").alias("k"), "before", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    out = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    picked = ((F.col("before") + F.col("inside") + F.col("size") / 2.0) <= rest) & (F.col("size") > 0)
-    out = out.withColumn("epochs", epochs + picked.cast("long"))
+    kept = [df[c].alias(f"__c_{c}") for c in carry]
+    base = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), word_count(text).alias("size"), quality_weight(text).alias("w"), *kept)
+    base = stage(base.withColumn("key", sample_key(F.col("doc_id"), F.col("w"), seed)), "sizes")
+    same = F.col("source").eqNullSafe(F.col("s"))
+
+    classes = base.groupBy("source", F.floor(F.col("w") * CLASSES).alias("class")).agg(F.avg("w").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    per_source = classes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("class", "w", "n"))).alias("classes"))
+    wanted = targets(per_source.select("source", "source_size")).withColumnRenamed("source", "s")
+    per_source = per_source.select("source", "n", "classes").join(wanted, same).drop("s")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    bins = F.ceil(F.sqrt("n") if rows_per_bin is None else F.col("n") / rows_per_bin)
+    per_source = stage(per_source.select(F.col("source").alias("s"), "n", "classes", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"), bins.alias("bins")), "targets")
+
+    below = F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + c["n"] * (1 - F.exp(-F.col("key") * c["w"])))  # rows expected below a key
+    placed = base.join(per_source, same).withColumn("bin", F.least(F.col("bins") - 1, F.floor(below / F.col("n") * F.col("bins")))).drop("s", "n", "classes", "bins", "w")
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("source", "bin").agg(F.sum("size").alias("inside"), F.max("rest").alias("rest")).withColumn("before", F.coalesce(F.sum("inside").over(before), F.lit(0)))
+    crossing = sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("inside") >= F.col("rest"))).select(F.col("source").alias("s"), F.col("bin").alias("cross"), "before")
+    crossing = stage(crossing, "crossing")  # one row a source, none where the epochs are all
+
+    met = placed.join(crossing, same, "left")
+    clear = met.filter(F.col("cross").isNull() | (F.col("bin") != F.col("cross"))).withColumn("more", (F.col("rest") > 0) & (F.col("size") > 0) & (F.col("cross").isNull() | (F.col("bin") < F.col("cross"))))
+    within = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_ = met.filter(F.col("bin") == F.col("cross")).withColumn("place", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    sorted_ = sorted_.withColumn("more", (F.col("place") + F.col("size") / 2.0 <= F.col("rest")) & (F.col("size") > 0)).drop("place")
+    out = clear.unionByName(sorted_).withColumn("epochs", F.col("whole") + F.col("more").cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs", *[F.col(f"__c_{c}").alias(c) for c in carry])
 
 

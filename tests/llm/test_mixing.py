@@ -58,7 +58,7 @@ def rows(n=400):
 @pytest.mark.parametrize("per_bucket", [10_000, 20])
 def test_matches_brute_force(spark, per_bucket):
     df = spark.createDataFrame([(*r, 1) for r in rows()], "doc_id long, text string, source string, size int").repartition(4)
-    got = M.mix(df, rows_per_bucket=per_bucket).collect()
+    got = M.mix(df, rows_per_bin=per_bucket).collect()
     assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got), key=str) == slow_mix(rows())
     taken, biggest, target = Counter(), Counter(), {}
     for r in got:
@@ -67,7 +67,7 @@ def test_matches_brute_force(spark, per_bucket):
         target[r.source] = r.target
         assert r.taken <= 2 * r.size
     assert all(abs(taken[s] - target[s]) <= biggest[s] / 2 + 1e-6 for s in target)
-    assert got == M.mix(df, rows_per_bucket=per_bucket).collect() or sorted(map(str, got)) == sorted(map(str, M.mix(df, rows_per_bucket=per_bucket).collect()))
+    assert got == M.mix(df, rows_per_bin=per_bucket).collect() or sorted(map(str, got)) == sorted(map(str, M.mix(df, rows_per_bin=per_bucket).collect()))
 
 
 def test_mixed_rows(spark):
@@ -80,3 +80,23 @@ def test_mixed_rows(spark):
     assert out.columns == df.columns
     assert Counter(r.doc_id for r in out.collect()) == +plan
     assert M.mixed_rows(df.limit(0)).count() == 0 and M.mix(df.limit(0)).count() == 0
+
+
+def test_light_source_fills_its_bins_evenly(spark):
+    """Documents of symbols have the least weight; their keys still spread over the bins."""
+    data = [(k, "### " * (k % 7 + 1) if k % 10 else "plain words here", "odd" if k % 3 else "plain") for k in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in M.mix(df).collect()), key=str)
+    assert got == slow_mix(data)
+    base = df.select("doc_id", "source", M.quality_weight(df["text"]).alias("w"))
+    keys = [(r.source, r.w, -math.log((int(hashlib.md5(f"{M.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / r.w) for r in base.collect()]
+    odd = [(w, k) for s, w, k in keys if s == "odd"]
+    share = [sum(1 - math.exp(-k * w) for w, _ in odd) / len(odd) for _, k in odd]
+    assert max(Counter(int(x * 44) for x in share).values()) < 3 * len(odd) / 44
+
+
+def test_very_long_text_and_clashing_names(spark):
+    data = [(1, "w " * 300_000, "a", 1, 2, 3), (2, "x y", "a", 1, 2, 3), (2, "x y", "a", 1, 2, 3), (None, "x y", None, 1, 2, 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, key int, bins int, n int")
+    assert sorted((r.doc_id or 0, r.size) for r in M.mix(df, carry=("key", "n")).collect()) == [(0, 2), (1, 300_000), (2, 2), (2, 2)]
+    assert M.mixed_rows(df).columns == df.columns

@@ -9,11 +9,11 @@ The posteriors of a bounded sample (``train_rows`` documents with the least hash
 scorer over hashed features: the shares of word shapes, of repeated words and of distinct words.  Its
 weights are ``DIMS`` numbers.  A document is kept if its score (probability to be good) is at least ``threshold``.
 
-Each document is read whole.  ``score`` reads each text once and keeps the features in a staged table; ``keep_good`` reads it a
-second time with the finished model, so that texts are never shuffled.
+Each document is read whole, and once: its features are staged, by ``keep_good`` beside its row, so that texts are neither read
+again by the labellers nor shuffled.
 
-Defined results: null text counts as empty, and a text without words has score 0; rows that repeat an id are rows
-of their own; an empty table gives an empty table and a model that keeps everything; ``keep_good`` keeps all
+Defined results: null text counts as empty, and a text without words has score 0; texts of any length are read whole; rows that repeat an id are rows
+of their own; equal rows have equal scores; documents that tie for the training sample's last places are alike in votes and id hash, and their order changes nothing; an empty table gives an empty table and a model that keeps everything; ``keep_good`` keeps all
 columns whatever their names.
 """
 
@@ -24,10 +24,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.common import stage, text_of
 
@@ -194,19 +196,23 @@ class QualityModel:
     threshold: float = THRESHOLD
 
 
-def _features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    names = ["doc_id", "pick", "votes", "dims", "vals"]
+_FEATURES = [T.StructField("pick", T.LongType()), T.StructField("votes", T.LongType()), T.StructField("dims", T.ArrayType(T.IntegerType())), T.StructField("vals", T.ArrayType(T.DoubleType()))]
+
+
+def _features(df: DataFrame, id_col: str, text_col: str, kept: list) -> DataFrame:
+    """The columns ``kept`` of ``df`` as k0, k1, ..., and the features of its text."""
+    text = text_of(df[text_col])
+    rows = df.select(*[c.alias(f"k{i}") for i, c in enumerate(kept)], F.xxhash64(df[id_col], text).alias("pick"), text.alias("__text"))
+    names = rows.columns[:-1]
 
     def run(batches):
         shapes = _Shapes()
         for b in batches:
-            found = [describe(t, shapes) for t in b["text"].to_pylist()]
+            found = [describe(t, shapes) for t in b["__text"].to_pylist()]
             votes, dims, vals = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["pick"], pa.array(votes, pa.int64()), pa.array(dims, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float64()))], names)
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in names], pa.array(votes, pa.int64()), pa.array(dims, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float64()))], [*names, "votes", "dims", "vals"])
 
-    text = text_of(df[text_col])
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[id_col], text).alias("pick"), text.alias("text"))
-    return stage(rows.mapInArrow(run, "doc_id long, pick long, votes long, dims array<int>, vals array<double>"), "features")
+    return stage(rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(kept)], *_FEATURES])), "features")
 
 
 def fit(features: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> QualityModel:
@@ -224,7 +230,7 @@ def fit(features: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = TH
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, score, label_posterior (probability to be good), keep."""
-    features = _features(df, id_col, text_col)
+    features = _features(df, id_col, text_col, [df[id_col].cast("long")])
     model = fit(features, train_rows, threshold)
     names = ["doc_id", "score", "label_posterior", "keep"]
 
@@ -234,21 +240,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
             p = 1 - model.labels.posterior_bad(b["votes"].to_numpy()) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s, pa.float64()), pa.array(p, pa.float64()), pa.array(s >= model.threshold, pa.bool_())], names)
 
-    return features.select("doc_id", "votes", "dims", "vals").mapInArrow(run, "doc_id long, score double, label_posterior double, keep boolean")
+    return features.select(F.col("k0").alias("doc_id"), "votes", "dims", "vals").mapInArrow(run, "doc_id long, score double, label_posterior double, keep boolean")
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that the classifier keeps."""
-    model = fit(_features(df, id_col, text_col), train_rows, threshold)
-    at = df.columns.index(text_col)
+    features = _features(df, id_col, text_col, [df[c] for c in df.columns])
+    model = fit(features, train_rows, threshold)
 
-    def run(batches):
-        shapes = _Shapes()
-        for b in batches:
-            keep = []
-            for t in b.column(at).to_pylist():
-                _, dims, vals = describe(t or "", shapes)
-                keep.append(model.scorer.score(dims, vals) >= model.threshold)
-            yield b.filter(pa.array(keep, pa.bool_()))
+    @F.pandas_udf("boolean")
+    def good(dims: pd.Series, vals: pd.Series) -> pd.Series:
+        return pd.Series([model.scorer.score(d, v) >= model.threshold for d, v in zip(dims, vals)], dtype=bool)
 
-    return df.mapInArrow(run, df.schema)
+    return features.filter(good("dims", "vals")).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -5,7 +5,6 @@ import numpy as np
 
 import corpus_pipeline as P
 from lexmill.llm import quality as Q
-from lexmill.llm import simhash as S
 from lexmill.llm.bpe import open_bpe
 from lexmill.llm.queries import tokenizer_path
 
@@ -32,8 +31,11 @@ def slow_exact(docs):
 
 
 def slow_near(docs):
-    fps = [S.wide_fingerprint(d[1]) for d in docs]
-    keys = [[tuple(np.unpackbits(f.view(np.uint8), bitorder="little")[t]) for t in S.wide_key_bits()] for f in fps]
+    def shingles(text):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [shingles(d[1]) for d in docs]
     up = list(range(len(docs)))
 
     def find(x):
@@ -43,7 +45,7 @@ def slow_near(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= S.WIDE_RADIUS and any(a == b for a, b in zip(keys[i], keys[j])):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     return [d for k, d in enumerate(docs) if find(k) == k]

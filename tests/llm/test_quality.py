@@ -63,3 +63,11 @@ def test_keep_good(spark):
 @pytest.mark.parametrize("word,want", [("Word", "Aa"), ("word,", "a,"), ("WORD!!", "AA!!"), ("W", "A"), ("ab12", "a9"), ("x&&&", "a&&&"), ("|", "|")])
 def test_shape(word, want):
     assert Q.shape(word) == want
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rows = [(1, "Plain words make a text. " * 20_000, 1, "x", None), (2, "!!! ### " * 9, 2, "y", "z"), (2, "!!! ### " * 9, 2, "y", "z"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, votes int, k0 string, dims string")
+    kept = Q.keep_good(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} <= {1, 2}
+    assert sorted(r.doc_id or 0 for r in Q.score(df).collect()) == [0, 1, 2, 2]

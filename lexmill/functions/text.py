@@ -86,30 +86,61 @@ def signature(types: Column) -> Column:
 
 
 # -- with positions ----------------------------------------------------------------------------
-def _positions(pieces):
-    """Arrow UDF body: token texts with their places."""
-    import pyarrow as pa
-
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    return pa.array([None if p is None else [{"pos": k, "text": t, "start": s, "end": e} for k, (t, s, e) in enumerate(p)] for p in pieces], kind)
-
-
 def tokenize(c: Column, rules: TokenRules = GERMAN) -> Column:
-    """White-space tokens with type and offsets: ``array<struct<pos,text,type,start,end>>``."""
+    """White-space tokens with type and offsets: ``array<struct<pos,text,type,start,end>>``.  Each distinct token of a batch is typed once."""
+    spec = tuple((python_pattern(p), k) for p, k in (*rules.rules, *_GENERAL))
 
-    @F.arrow_udf("array<struct<pos:int,text:string,start:int,end:int>>")
+    @F.arrow_udf(TOKEN_TYPE)
     def split(texts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import regex
 
-        find = regex.compile(f"[^{SPACE}]+").finditer
-        return _positions(None if t is None else [(m[0], m.start(), m.end()) for m in find(t)] for t in texts.to_pylist())
+        runs = regex.compile(f"[^{SPACE}]+").findall
+        found, start, count = [], [], []
+        for t in texts.to_pylist():
+            # Python's split knows one more white-space character
+            own = [] if t is None else runs(t) if "\x85" in t else t.split()
+            at, place = 0, (t or "").index
+            for w in own:
+                at = place(w, at)
+                start.append(at)
+                at += len(w)
+            found += own
+            count.append(len(own))
+        edge = np.r_[0, np.cumsum(np.array(count, np.int64))]
+        words = pa.array(found, pa.string())
+        code = words.dictionary_encode()
+        tests = [(regex.compile(p).fullmatch, k) for p, k in spec]
+        kind = [next((k for match, k in tests if match(w)), WORD_SYMBOL) for w in code.dictionary.to_pylist()]
+        first = np.array(start, np.int32)
+        pos = (np.arange(len(first)) - np.repeat(edge[:-1], count)).astype(np.int32)
+        last = first + pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+        fields = [pa.array(pos), words, pa.array(kind, pa.string()).take(code.indices), pa.array(first), pa.array(last)]
+        tokens = pa.StructArray.from_arrays(fields, ["pos", "text", "type", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), tokens, mask=texts.is_null() if texts.null_count else None)
+
+    return split(c)
 
-    return F.transform(split(c), lambda t: F.struct(t["pos"].alias("pos"), t["text"].alias("text"), token_type(t["text"], rules).alias("type"), t["start"].alias("start"), t["end"].alias("end")))
+
+#: The JVM's ASCII classes.
+_ASCII = {"d": "0-9", "s": r" \t\n\x0B\f\r", "w": "A-Za-z0-9_"}
 
 
 def python_pattern(java: str) -> str:
-    """A rule for Python's ``regex``: digits are ASCII, as in the JVM."""
-    return java.replace(r"\d", "[0-9]").replace(r"\s", r"[ \t\n\x0B\f\r]")
+    """A rule for Python's ``regex``: digits, spaces and word characters are ASCII, as in the JVM."""
+    out, inside, at = [], False, 0
+    while at < len(java):
+        c, at = java[at], at + 1
+        if c == "\\" and at < len(java):
+            e, at = java[at], at + 1
+            plain = _ASCII.get(e)
+            out.append(c + e if plain is None else plain if inside else f"[{plain}]")
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(c)
+    return "".join(out)
 
 
 def punctuation_tokens(text: str, rules: Sequence[tuple[object, str]], general: Sequence[tuple[object, str]]) -> list[tuple[str, str, int, int]]:

@@ -27,12 +27,13 @@ class NotTrained(RuntimeError):
 @dataclass(frozen=True)
 class NaiveBayesModel:
     """Sufficient statistics as tables: counts (label, idx, total), labels (label, docs, mass), seen (idx; None if only
-    the features in counts were ever seen)."""
+    the features in counts were ever seen), docs (label, docs; what of labels needs no features, None if it has no plan of its own)."""
 
     counts: DataFrame
     labels: DataFrame
     seen: DataFrame | None = None
     alpha: float = 1.0
+    docs: DataFrame | None = None
 
     @property
     def features(self) -> DataFrame:
@@ -58,7 +59,7 @@ def fit_naive_bayes(observations: DataFrame, alpha: float = 1.0, seen: DataFrame
     docs = observations.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     mass = counts.groupBy("label").agg(F.sum("total").alias("mass"))
     labels = docs.join(mass, "label", "left").select("label", "docs", F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    return NaiveBayesModel(counts, labels, None if seen is None else counts.select("idx").union(seen).distinct(), alpha)
+    return NaiveBayesModel(counts, labels, None if seen is None else counts.select("idx").union(seen).distinct(), alpha, docs)
 
 
 def add_naive_bayes(model: NaiveBayesModel, observations: DataFrame) -> NaiveBayesModel:
@@ -82,15 +83,16 @@ class LinearModel:
 def naive_bayes_weights(model: NaiveBayesModel, dense_bytes: int = DENSE_BYTES) -> LinearModel:
     """Weights for the driver; refuses a model that is larger than ``dense_bytes``."""
     rows = dense_bytes // 24
-    got = model.counts.limit(rows + 1).toArrow()
+    got = model.counts.limit(rows + 1).toArrow()  # the only pass over the observations' features: the masses are sums of these
     if got.num_rows > rows:
         raise MemoryError("the model is too large to be broadcast; use score_joined")
-    labels = sorted(model.labels.collect(), key=lambda r: r["label"])
+    labels = sorted((model.labels if model.docs is None else model.docs).collect(), key=lambda r: r["label"])
     if not labels:
         raise NotTrained("the classifier has not been trained")
     name, idx, total = (got[c].to_numpy(zero_copy_only=False) for c in ("label", "idx", "total"))
     v, docs = (max(1, len(np.unique(idx))) if model.seen is None else model.vocabulary), sum(r["docs"] for r in labels)
-    base, weights = [np.log(r["mass"] + model.alpha * v) for r in labels], []
+    mass = [total[name == r["label"]].sum() if model.docs is not None else r["mass"] for r in labels]
+    base, weights = [np.log(m + model.alpha * v) for m in mass], []
     for r in labels:
         own = np.flatnonzero(name == r["label"])
         own = own[np.argsort(idx[own])]

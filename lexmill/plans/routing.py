@@ -13,7 +13,8 @@ def route(label: Column, tokens: Column, slots: dict[str, list[Slot]]) -> Column
     """Fields of the slots of a row's label; no fields for other labels."""
     out = F.array().cast(f"array<{FIELD}>")
     for name, own in slots.items():
-        out = F.when(label == name, extract(tokens, own)).otherwise(out)
+        mine = F.when(label == name, tokens)  # null elsewhere, so that other rows aren't searched
+        out = F.when(label == name, extract(mine, own)).otherwise(out)
     return out
 
 

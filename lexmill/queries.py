@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.functions.hashing import HashingConfig, char_ngrams, portable_bucket, vectorize, word_ngrams
+from lexmill.functions.hashing import HashingConfig, char_ngrams, portable_vector, vectorize, word_ngrams
 from lexmill.operators import classifiers as C
 from lexmill.operators import extraction as X
 from lexmill.operators import schema as S
@@ -91,14 +91,12 @@ def portable_observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     """Labelled and unlabelled documents with MD5 word features."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     words = F.array_remove(F.split(T.normalize(F.coalesce("text", F.lit(""))), " "), "")
-    each = d.select("doc_id", F.explode_outer(words).alias("w")).select("doc_id", F.when(F.col("w").isNotNull(), portable_bucket(F.col("w"), BUCKETS)).alias("idx"))
-    # one row a document and bucket, then a row a document; partial counts before the shuffle
-    counts = each.groupBy("doc_id", "idx").agg(F.count("idx").cast("float").alias("v"))
-    vectors = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "v")))).alias("e"))
-    vectors = vectors.select("doc_id", F.col("e.idx").alias("indices"), F.col("e.v").alias("values"))
-    named = labels.groupBy("doc_id").agg(F.min(F.when(F.col("quality") == 1, "good").otherwise("poor")).alias("label"))
-    joined = vectors.join(named, "doc_id", "left").select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("seq"), "label", "indices", "values")
-    return joined.filter("label is not null"), joined.filter("label is null")
+    named = labels.groupBy(F.col("doc_id").alias("l_id")).agg(F.min(F.when(F.col("quality") == 1, "good").otherwise("poor")).alias("label"))
+    joined = d.join(named, F.col("doc_id") == F.col("l_id"), "left")
+    # the label is known before a text is read, so each document is vectorized once: to learn from it, or to score it
+    known, pool = (joined.filter(f).select("doc_id", "label", portable_vector(words, BUCKETS).alias("v")) for f in ("label is not null", "label is null"))
+    columns = F.col("doc_id").alias("row_id"), F.col("doc_id").alias("seq"), "label", "v.indices", "v.values"
+    return known.select(*columns), pool.select(*columns)
 
 
 PORTABLE = f"""

@@ -7,14 +7,17 @@ all pages of a host (partial aggregates, so a host with a third of all pages cos
 ranks all paths of each host.  Pass 2 parses the page again and extracts the best-ranked path that it
 has; a page that has none of them, or no text there, falls back to its own best container, then to its body.
 
-In the extracted container menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out, by tag, role and the words of class and id.  A ``header`` inside the container gives its
+An ``h1`` beside the container, or beside an element around it, goes in front.  In the extracted container menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are left out, by tag, role and the words of class and id.  Words don't decide alone: what holds more than half of the page's
+characters stays (but for comments), and inside an ``article`` a class like ``related-work`` is no chrome, as its other word says something.
+A form that holds more than half of the page is a container.  A ``header`` inside the container gives its
 headings only.  Character references are decoded, white space within a block becomes one space, blocks are trimmed and
 joined by two line feeds.
 
-Defined results: null and empty html give an empty text; markup that is broken or unclosed is repaired as far as
+Defined results: null and empty html give an empty text; paths with equal totals are ranked by name; markup that is broken or unclosed is repaired as far as
 implied end tags go; a page without tags is one block; rows that repeat a page are rows of their own; a null url has
-the host ""; an empty table gives an empty table; html of any length is read whole.
+the host ""; an empty table gives an empty table; html of any length is read whole, in time
+linear in it; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import stage, text_of
 
-DECAY, DEPTH = 0.5, 32
+DECAY, DEPTH, NESTING = 0.5, 32, 512
 
 # -- fixed values: HTML's own lists -------------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +51,11 @@ DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialo
 DROP_WORDS = frozenset(
     "ad ads advert adverts alert announcement anuncio anzeige comentario comentarios commentaire commentaires copyright kommentar kommentare publicidad publicite toc warning werbung advertisement advertising adsense adslot banner bottombar breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus feedback foot footer gdpr hidden login masthead menu menubar modal nav navbar navigation navmenu newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended registration related replies reply respond responses rss search share sharebar sharing sidebar sidenav signup skip skyscraper social sponsor sponsored sponsorship subscribe subscription tagcloud taboola toolbar topbar widget widgets".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+COMMENT_WORDS = frozenset("comentario comentarios comment comments commentaire commentaires commentlist discussion disqus kommentar kommentare replies reply respond responses".split())
+#: Words that say nothing beside one of those.
+PLAIN_WORDS = frozenset("area articles bar block body bottom box btn button buttons card cell center col column container content desktop element form global group holder icons inline inner item items left links list main mobile module outer page panel post posts primary right row secondary section site slot social stories thread top unit user wrap wrapper zone".split())
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -63,6 +70,9 @@ class Node:
     up: "Node | None"
     kids: list = field(default_factory=list)  # nodes and texts
     path: str = ""
+    chars: int = 0  # visible characters in it
+    in_article: bool = False
+    share: float = 0.0  # of the page's visible characters
 
     def is_header(self) -> bool:
         """A header element, or one by its class or id: of it only headings are text."""
@@ -72,6 +82,8 @@ class Node:
         return "header" in names.lower() and any(w.lower() == "header" for w in _CAMEL.split(names))
 
     def dropped(self) -> bool:
+        if self.tag == "form":
+            return self.share <= 0.5  # a form around the page is a container
         if self.tag in DROP_TAGS:
             return True
         a = self.attrs
@@ -81,8 +93,19 @@ class Node:
             return True
         if self.tag in ("html", "body", "article", "main"):
             return False
-        names = f"{a.get('class', '')} {a.get('id', '')}"
-        return any(w.lower() in DROP_WORDS for w in _CAMEL.split(names)) if names != " " else False
+        return any(map(self._means_chrome, (a.get("class", "") + " " + a.get("id", "")).split()))
+
+    def _means_chrome(self, name: str) -> bool:
+        """Whether a class or id says that this isn't main text: by any of its words if it holds less than half of the page, and
+        inside an article only if its other words say nothing.  What is named after comments always is."""
+        words = [w.lower() for w in _CAMEL.split(name) if w]
+        if not any(w in DROP_WORDS for w in words):
+            return False
+        if any(w in COMMENT_WORDS for w in words) and (not self.in_article or all(w in DROP_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words)):
+            return True
+        if self.share > 0.5:
+            return False
+        return not self.in_article or all(w in DROP_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -94,60 +117,117 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _tokens(page: str):
+    """Texts and tags in order: (text, None, None, 0, 0), or ("", end mark, name, first and last place of the attributes).  Linear: a tag whose quotes take
+    in the rest of the page ends at its first ``>``, and after a few of those quotes are no longer heeded."""
+    at, text, n, lost, heed = 0, 0, len(page), 0, True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), at):
+            comment, data = page.startswith("<!--", at), page.startswith("<![CDATA[", at)
+            end = page.find("-->" if comment else "]]>" if data else ">", at + 2)
+            if end < 0 and not comment:
+                break
+            if at > text:
+                yield page[text:at], None, None, 0, 0
+            if data:
+                yield page[at + 9 : end].replace("&", "&amp;"), None, None, 0, 0
+            at = text = n if end < 0 else end + (1 if not (comment or data) else 3)
+            continue
+        m = _NAME.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        end, spot = -1, m.end()
+        while heed and (mark := _MARK.search(page, spot)):
+            if mark[0] == ">":
+                end = mark.start()
+                break
+            close = page.find(mark[0], mark.end())
+            spot = mark.end() if close < 0 else close + 1
+        if end < 0:
+            end = page.find(">", m.end())
+            if end < 0:
+                break
+            lost += 1
+            heed = lost < 8
+        if at > text:
+            yield page[text:at], None, None, 0, 0
+        yield "", m[1], m[2].lower(), m.end(), end
+        at = text = end + 1
+        if not m[1] and (tag := m[2].lower()) in RAW:
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if stop is None:
+                yield page[at:], None, None, 0, 0
+                return
+            if stop.start() > at:
+                yield page[at : stop.start()], None, None, 0, 0
+            at = text = stop.start()
+    if text < n:
+        yield page[text:], None, None, 0, 0
+
+
 def parse(page: str) -> Node:
-    """A tree with one root; end tags without a start are ignored, missing ones are implied."""
+    """A tree with one root; end tags without a start are ignored, missing ones are implied, and elements below ``NESTING`` levels lie
+    beside one another."""
     root = Node("html", {}, None, path="html")
-    here, at, n = root, 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            here.kids.append(page[at:])
-            break
-        if m.start() > at:
-            here.kids.append(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            here.kids.append(m[1].replace("&", "&amp;"))
-        if m[3] is None:
+    here, made, depth, opened = root, [root], 1, {"html": 1}
+
+    def close(node: Node) -> None:
+        """Ends the open elements up to ``node``, too."""
+        nonlocal here, depth
+        while True:
+            opened[here.tag] -= 1
+            depth -= 1
+            done, here = here is node, here.up
+            if done:
+                return
+
+    for text, mark, tag, first, last in _tokens(page):
+        if mark is None:
+            here.kids.append(text)
+            if here.tag not in UNSEEN:
+                here.chars += len(text) - text.count(" ") - text.count("\n")
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if mark:
             if tag == "br":
                 here.kids.append(" ")
-                continue
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.up
-            if node is not None and node.up is not None:
-                here = node.up
+            elif tag != "html" and opened.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                close(node)
             continue
         if tag == "html":
-            root.attrs |= _attributes(m[4])
+            root.attrs |= _attributes(page[first:last])
             continue
         if tag in CLOSES:
             ends, scope = CLOSES[tag]
-            node, last = here, None
-            while node is not None and node.tag not in scope:
+            node, top = here, None
+            while any(opened.get(e) for e in ends) and node is not None and node.tag not in scope:
                 if node.tag in ends:
-                    last = node
+                    top = node
                 node = node.up
-            if last is not None:
-                here = last.up
-        elif tag in ENDS_P:
+            if top is not None:
+                close(top)
+        elif tag in ENDS_P and opened.get("p"):
             node = here
             while node is not None and node.tag != "p" and node.tag not in ("td", "th", "li", "div", "article", "section", "button", "body"):
                 node = node.up
             if node is not None and node.tag == "p":
-                here = node.up
-        attrs = _attributes(m[4])
-        node = Node(tag, attrs, here, path=generalised(tag, attrs, here))
+                close(node)
+        raw = page[first:last]
+        attrs = _attributes(raw)
+        node = Node(tag, attrs, here, path=generalised(tag, attrs, here), in_article=here.in_article or here.tag == "article")
         here.kids.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            node.kids.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif tag not in VOID and not m[4].rstrip().endswith("/") or tag in BLOCK and tag != "hr":
-            here = node
+        made.append(node)
+        if (tag not in VOID and not raw.rstrip().endswith("/") or tag in BLOCK and tag != "hr") and (depth < NESTING or tag in RAW):
+            here, depth = node, depth + 1
+            opened[tag] = opened.get(tag, 0) + 1
+    for node in reversed(made):
+        if node.up is not None and node.tag not in UNSEEN:
+            node.up.chars += node.chars
+    for node in made:
+        node.share = node.chars / root.chars if root.chars else 0.0
     return root
 
 
@@ -258,6 +338,20 @@ def _find(root: Node, path: str) -> list[Node]:
     return out
 
 
+def heading(node: Node) -> list[str]:
+    """The page's main headings that stand right before an element, or before one that it is in."""
+    out: list[str] = []
+    while node.up is not None and node.tag != "body":
+        before = []
+        for kid in node.up.kids:
+            if kid is node:
+                break
+            if not isinstance(kid, str) and kid.tag == "h1" and not kid.dropped():
+                before += [t for _, t, _ in blocks(kid)]
+        out, node = before + out, node.up
+    return out
+
+
 def extract(page: str, ranked: list[str]) -> str:
     """The text of the first of the host's paths that the page has."""
     if not page:
@@ -269,9 +363,10 @@ def extract(page: str, ranked: list[str]) -> str:
             if not own:
                 break
             path = min(own, key=lambda p: (-own[p], p))
-        text = "\n\n".join(t for node in _find(root, path) for _, t, _ in blocks(node))
-        if text:
-            return text
+        found = _find(root, path)
+        texts = [t for node in found for _, t, _ in blocks(node)]
+        if texts:
+            return "\n\n".join(heading(found[0]) + texts)
     return "\n\n".join(t for _, t, _ in blocks(find_body(root)))
 
 

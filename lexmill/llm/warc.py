@@ -11,7 +11,9 @@ Record ids are name-based UUIDs of the source's id and the kind, so a task that
 records.  ``read_records`` streams files record by record (gzip members or plain), ``write_records`` writes
 one gzip member a record; a manifest lists the files of finished tasks only.
 
-Defined results: other record types have no derivatives; a record that can't be read gives one row of type ``error``
+Defined results: texts of any length are read whole, a record at a time in memory; rows that repeat a record give equal derivatives
+(record ids included), and no other ties arise; a payload in a coding that can't be read here (``br``) has no text and says so in its metadata; a
+damaged gzip member or record of a file gives a row with the reason, and reading goes on at the next; other record types have no derivatives; a record that can't be read gives one row of type ``error``
 with the reason in ``block``; a response without a record id gets one from its content; null input rows give
 nothing; broken character codes become U+FFFD; an empty table gives an empty table; other columns are kept by ``carry``.
 """
@@ -73,10 +75,10 @@ def _headers(lines: list[bytes]) -> tuple[tuple[str, str], ...]:
     return tuple((k, v) for k, v in out)
 
 
-def records(stream) -> Iterator[Record]:
-    """Reads records one by one from a binary stream; ``ValueError`` for what isn't one."""
+def records(stream, line: bytes = b"\n") -> Iterator[Record]:
+    """Reads records one by one from a binary stream, whose last read line is ``line``; ``ValueError`` for what isn't one."""
     while True:
-        line = stream.readline()
+        line = line if line.startswith(b"WARC/") else stream.readline()
         while line in (b"\r\n", b"\n"):
             line = stream.readline()
         if not line:
@@ -96,6 +98,51 @@ def records(stream) -> Iterator[Record]:
         if len(block) != int(length):
             raise ValueError("the record ends in its block")
         yield Record(headers, block, version)
+        line = b"\n"
+
+
+def all_records(stream) -> Iterator[tuple[Record | None, str | None]]:
+    """(record, None) for each record, and (None, reason) where there is none; goes on at the next version line."""
+    line = b"\n"
+    while True:
+        try:
+            for r in records(stream, line):
+                yield r, None
+            return
+        except ValueError as e:
+            yield None, str(e)
+        while (line := stream.readline()) and not line.startswith(b"WARC/"):
+            pass
+        if not line:
+            return
+
+
+def members(raw, chunk: int = 1 << 20) -> Iterator[tuple[bytes, str | None]]:
+    """The contents of each gzip member of a binary stream; of a damaged one what comes before the damage, and the reason.  Goes on at
+    the next mark of a member."""
+    buf = raw.read(chunk)
+    while buf:
+        member, out, seen, why = zlib.decompressobj(31), [], buf, None
+        try:
+            while True:
+                out.append(member.decompress(buf))
+                if member.eof:
+                    break
+                buf = raw.read(chunk)
+                seen += buf
+                if not buf:
+                    raise EOFError("the file ends in a gzip member")
+        except (zlib.error, EOFError) as e:
+            why = str(e)
+        yield b"".join(out), why
+        if why is None:
+            buf = member.unused_data or raw.read(chunk)
+            continue
+        at = seen.find(b"\x1f\x8b\x08", 1)
+        while at < 0 and (more := raw.read(chunk)):
+            seen = seen[-2:] + more
+            at = seen.find(b"\x1f\x8b\x08")
+        buf = seen[at:] if at >= 0 else b""
 
 
 def response(url: str | None, body: bytes, date: str = DATE, content_type: str = "text/html; charset=utf-8") -> Record:
@@ -122,12 +169,12 @@ def _inflate(body: bytes, wbits: int) -> tuple[bytes, bool]:
     return b"".join(out), cut
 
 
-def _payload(block: bytes) -> tuple[str, tuple[tuple[str, str], ...], bytes, bool]:
-    """Status line, HTTP headers, the decoded payload and whether its coding was cut off."""
+def _payload(block: bytes) -> tuple[str, tuple[tuple[str, str], ...], bytes, str]:
+    """Status line, HTTP headers, the decoded payload and what is wrong with it: "truncated", "undecoded" or nothing."""
     stream = io.BytesIO(block)
     status = stream.readline().decode("latin-1").strip()
     if not status.startswith("HTTP/"):
-        return "", (), block, False
+        return "", (), block, ""
     lines = []
     while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
         lines.append(line)
@@ -141,9 +188,18 @@ def _payload(block: bytes) -> tuple[str, tuple[tuple[str, str], ...], bytes, boo
             body, cut = _inflate(body, 47)
         elif "deflate" in coding:
             body, cut = _inflate(body, -15 if body[:1] and body[0] & 15 != 8 else 15)
+        elif "zstd" in coding and body.startswith(b"\x28\xb5\x2f\xfd"):
+            import zstandard
+
+            try:
+                body = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(body)
+            except zstandard.ZstdError:
+                return status, headers, b"", "undecoded"
+        elif coding.strip() in ("br", "compress", "x-compress"):
+            return status, headers, b"", "undecoded"
     except zlib.error:
         pass  # sent without the coding that its header names
-    return status, headers, body, cut
+    return status, headers, body, "truncated" if cut else ""
 
 
 def _unchunk(body: bytes) -> bytes:
@@ -189,7 +245,7 @@ def derive(source: Record) -> list[Record]:
     if (source.get("WARC-Type") or "").lower() != "response":
         return []
     rid = source.get("WARC-Record-ID") or named_id("response", source.get("WARC-Target-URI") or "", digest(source.block))
-    status, http, body, cut = _payload(source.block)
+    status, http, body, wrong = _payload(source.block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = _charset(kind, body)
     page = body.decode(charset, "replace")
@@ -204,7 +260,7 @@ def derive(source: Record) -> list[Record]:
     link = ("WARC-Refers-To", rid)
     conversion = Record((("WARC-Type", "conversion"), ("WARC-Record-ID", conversion_id), link, *kept, ("WARC-Block-Digest", digest(data)), ("Content-Type", "text/plain; charset=utf-8"), ("Content-Length", str(len(data)))), data)
     fields = [("conversion-record-id", conversion_id), ("http-status", status), ("content-type", kind), ("charset", charset), ("title", title), ("text-characters", str(len(text))), ("source-payload-digest", source.get("WARC-Payload-Digest") or digest(body)), ("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block))]
-    fields += [("payload-truncated", "content-encoding")] * cut + [("outlink", x) for x in outlinks] + [("source-warc-header", f"{k}: {v}") for k, v in source.headers] + [("source-http-header", f"{k}: {v}") for k, v in http]
+    fields += [(f"payload-{wrong}", "content-encoding")] * bool(wrong) + [("outlink", x) for x in outlinks] + [("source-warc-header", f"{k}: {v}") for k, v in source.headers] + [("source-http-header", f"{k}: {v}") for k, v in http]
     data = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     metadata = Record((("WARC-Type", "metadata"), ("WARC-Record-ID", named_id(rid, "metadata")), link, *kept, ("WARC-Concurrent-To", conversion_id), ("WARC-Block-Digest", digest(data)), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(data)))), data)
     return [metadata, conversion]
@@ -308,7 +364,20 @@ def write_records(df: DataFrame, at: str | None = None, record_col: str = "recor
 
 
 def read_records(spark: SparkSession, paths: DataFrame, path_col: str = "path") -> DataFrame:
-    """Streams the records of WARC files: path, number, record.  ``paths``: a table of their names."""
+    """Streams the records of WARC files: path, number, record, error.  ``paths``: a table of their names.  What is damaged gives a row
+    with the reason in ``error`` and no record, and the rest of the file is read."""
+    schema = pa.schema([("path", pa.string()), ("number", pa.int64()), ("record", pa.binary()), ("error", pa.string())])
+
+    def found(stream):
+        if stream.peek(2)[:2] != b"\x1f\x8b":
+            yield from all_records(stream)
+            return
+        for data, why in members(stream):
+            for r, reason in all_records(io.BytesIO(data)):
+                if reason is None or why is None:
+                    yield r, reason
+            if why is not None:
+                yield None, why
 
     def run(batches):
         from pyarrow import fs
@@ -318,17 +387,14 @@ def read_records(spark: SparkSession, paths: DataFrame, path_col: str = "path")
                 store, path = fs.FileSystem.from_uri(uri)
                 rows, size = [], 0
                 with store.open_input_stream(path, compression=None) as raw:
-                    stream = io.BufferedReader(raw)
-                    if stream.peek(2)[:2] == b"\x1f\x8b":
-                        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
-                    for k, r in enumerate(records(stream)):
-                        rows.append((uri, k, r.encode()))
-                        size += len(r.block)
+                    for k, (r, why) in enumerate(found(io.BufferedReader(raw))):
+                        rows.append((uri, k, None if r is None else r.encode(), why))
+                        size += 0 if r is None else len(r.block)
                         if size > 8_000_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "number", "record"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                             rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "number", "record"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return paths.select(F.col(path_col).alias("path")).repartition(n, "path").mapInArrow(run, "path string, number long, record binary")
+    return paths.select(F.col(path_col).alias("path")).repartition(n, "path").mapInArrow(run, "path string, number long, record binary, error string")

@@ -66,3 +66,57 @@ def test_any_path_of_a_host_may_win(spark):
     rows = [(k, f"http://h/{k}", page(k)) for k in range(60)]
     got = {r.page_id: r.text for r in H.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got[0].startswith("Article 0 part 0") and "reader" not in got[0]
+
+
+def slow_extract(pages):
+    """Scores of all paths added per host in plain Python; each page takes its best-ranked one."""
+    totals, scores = {}, []
+    for host, page in pages:
+        own = H.containers(H.parse(page)) if page else {}
+        scores.append(own)
+        for path, s in own.items():
+            totals[host, path] = totals.get((host, path), 0.0) + s
+    out = []
+    for (host, page), own in zip(pages, scores):
+        out.append(H.extract(page, sorted(own, key=lambda p: (-round(totals[host, p], 3), p))))
+    return out
+
+
+def test_consensus_matches_brute_force(spark):
+    r = __import__("random").Random(3)
+    words = lambda n: " ".join(r.choice("one two three four five".split()) for _ in range(n))
+    pages = []
+    for k in range(60):
+        cmt = "".join(f"<div class=cmt>{words(r.randint(5, 60))}" for _ in range(r.randint(0, 6))) + "</div>" * 6
+        pages.append((f"h{k % 3}", f"<body><div class='top-{k}'>{words(4)}</div><div class=story-{k}><p>{words(r.randint(20, 50))}<p>{words(30)}</div><div class=extra>{cmt}</div>"))
+    pages += [("h0", ""), ("h1", "no tags"), ("h2", "<p>" + words(40_000))]
+    df = spark.createDataFrame([(i, f"http://{h}/x", p, 1.0, h) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string, score double, path string").repartition(5)
+    got = {x.page_id: x.text for x in H.extract_main(df).collect()}
+    assert [got[i] for i in range(len(pages))] == slow_extract(pages)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<form><article><p>in a page-wide form</article></form>", "in a page-wide form"),
+        ("<article><p>first</p><section id='related-work'><p>kept here</section><div class='related-posts'>x</div><div class=comments>no</div></article>", "first\n\nkept here"),
+        ("<div class='menu-item-recipe'><p>the only content</div>", "the only content"),
+        ("<body><h1>Title</h1><div class=x><p>text of the page, long enough to win</div><h1>After</h1>", "Title\n\ntext of the page, long enough to win"),
+        ("<div class=a><p>some text</div><div class=comments><p>a comment that is much longer than the text itself</div>", "some text"),
+    ],
+)
+def test_words_do_not_decide_alone(page, text):
+    assert H.extract(page, []) == text
+
+
+@pytest.mark.parametrize("page", ['<a "x ' * 160_000, '<a ="> ' * 140_000, "<span>" * 80_000 + "</b>" * 80_000, "<div>" * 150_000, "<" * 500_000, "<li><span>" * 60_000, "<!--" * 200_000, "<p>" * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    H.extract(page, [])
+    assert time.process_time() - began < 8  # seconds; quadratic work takes minutes
+
+
+def test_text_below_the_nesting_limit_is_kept():
+    assert H.extract("<body><p>" + "<b>" * 2_000 + "deep" + "</b>" * 2_000 + " end", []) == "deep end"

@@ -72,3 +72,39 @@ def test_records_before_a_damaged_one_are_written(spark):
     good = W.response("http://a/1", b"x").encode()
     df = spark.createDataFrame([(bytearray(good + good[:-20]),)], "record binary")
     assert W.derived_records(df).count() == 2
+
+
+def test_zstandard_and_unknown_codings():
+    import zstandard
+
+    for coding, body, text, wrong in (("zstd", zstandard.compress(b"<p>one two"), "one two", None), ("zstd", zstandard.compress(b"<p>one two")[:4] + b"\xff" * 40, "", b"payload-undecoded"), ("br", b"\x0b\x02\x80", "", b"payload-undecoded")):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: {coding}\r\n\r\n".encode() + body
+        metadata, conversion = W.derive(W.Record((("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("Content-Length", str(len(block)))), block))
+        assert conversion.block.decode() == text and (wrong is None or wrong in metadata.block)
+
+
+def test_damaged_files_are_read_on(spark, tmp_path):
+    import random
+
+    made = [W.response(f"http://a/{k}", bytes(random.Random(k).choices(b"abcdef <p>", k=4000))).encode() for k in range(6)]
+    zipped = [gzip.compress(m) for m in made]
+    broken = zipped[2][:600] + b"\0" * 40 + zipped[2][640:]
+    (tmp_path / "a.warc.gz").write_bytes(zipped[0] + zipped[1] + broken + zipped[3] + zipped[4][:-900])
+    (tmp_path / "b.warc").write_bytes(made[0] + b"junk\r\n" + made[1] + made[5][:-300])
+    (tmp_path / "c.warc.gz").write_bytes(b"")
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(made[0] + made[1]) + gzip.compress(b"junk"))
+    paths = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("a.warc.gz", "b.warc", "c.warc.gz", "d.warc.gz")], "path string")
+    got = {}
+    for r in sorted(W.read_records(spark, paths).collect(), key=lambda r: (r.path, r.number)):
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(made.index(bytes(r.record)) if r.record is not None else "error" if r.error else None)
+    assert got == {"a.warc.gz": [0, 1, "error", 3, "error"], "b.warc": [0, "error", 1, "error"], "d.warc.gz": [0, 1, "error"]}
+
+
+def test_very_long_page_and_clashing_names(spark):
+    page = "<p>" + "word & word " * 100_000
+    df = spark.createDataFrame([(1, "http://a", page, "x", "y")], "page_id long, url string, html string, block string, record_id string")
+    sources = W.pages_to_responses(df, carry=("page_id", "block", "record_id"))
+    got = W.derivatives(sources, carry=("page_id", "block", "record_id"))
+    assert got.columns[:3] == ["page_id", "block", "record_id"] and got.columns.count("block") == 2
+    rows = got.collect()
+    assert len(rows) == 2 and {r[1] for r in rows} == {"x"} and any(len(r[-1]) == 1_199_999 for r in rows)

@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # the centres of a node are few, so a first small-star step needs no join: all its centres get the least of them
     near = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    met = near.select(F.explode(F.transform(F.concat(F.array("a"), F.slice("bs", 2, 2147483647)), lambda x: F.struct(x.alias("a"), F.get("bs", F.lit(0)).alias("b")))).alias("e"))
+    met = near.select(F.explode(F.transform(F.concat(F.array("a"), F.slice("bs", 2, F.size("bs"))), lambda x: F.struct(x.alias("a"), F.get("bs", F.lit(0)).alias("b")))).alias("e"))
     cur = stage(met.select("e.a", "e.b").distinct(), "edges")
     while not _is_done(cur):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -206,7 +206,7 @@ def fit_logistic(observations: DataFrame, epochs: int = 1, seed: int | None = No
     With a seed each epoch has an order of its own, from a hash of ``seq``.  The order-dependent steps run
     in one task, streaming over the sorted rows, an epoch after another."""
     if epochs < 1:
-        raise ValueError("epochs must be at least 1")
+        raise ValueError("training needs an epoch or more")
     rows = observations.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "seq", "label", "indices", "values")
     order = F.col("seq") if seed is None else F.xxhash64(F.lit(seed) + F.col("epoch"), F.col("seq"))
     rows = rows.withColumn("place", order).repartition(1).sortWithinPartitions("epoch", "place", "seq")

@@ -130,20 +130,20 @@ def validate(df: DataFrame, schema: RecordSchema, ignore: tuple[str, ...] = (),
     of every record; ``ignore`` names columns that are no fields (row numbers and the like).  ``unknown_col`` names a
     column with each record's own unknown fields (see ``from_maps``)."""
     label = schema.label.name
-    errors = [F.when(F.coalesce(trim_space(_have(df, label)), F.lit("")) == "", F.lit(f"missing or blank label field '{label}'"))]
+    errors = [F.when(F.coalesce(trim_space(_have(df, label)), F.lit("")) == "", F.lit(f"label '{label}' has no value"))]
     warnings = []
     for f in schema.fields:
         if f == schema.label:
             continue
         c = _have(df, f.name)
-        warnings.append(F.when(c.isNull(), F.lit(f"missing field '{f.name}'")))
+        warnings.append(F.when(c.isNull(), F.lit(f"'{f.name}' is not there")))
         if f.kind == NUMERIC:
-            errors.append(F.when(c.isNotNull() & ~is_numeric(c), F.concat(F.lit(f"field '{f.name}' must be numeric but was '"), c, F.lit("'"))))
-    warnings += [F.lit(f"unknown field '{c}' is not declared in the schema") for c in df.columns if schema.get(c) is None and c not in ignore and c != unknown_col]
+            errors.append(F.when(c.isNotNull() & ~is_numeric(c), F.concat(F.lit(f"'{f.name}' is no number: "), c)))
+    warnings += [F.lit(f"'{c}' is no field of the schema") for c in df.columns if schema.get(c) is None and c not in ignore and c != unknown_col]
     packed = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
     noted = packed(warnings)
     if unknown_col is not None:
-        noted = F.concat(noted, F.transform(df[unknown_col], lambda n: F.concat(F.lit("unknown field '"), n, F.lit("' is not declared in the schema"))))
+        noted = F.concat(noted, F.transform(df[unknown_col], lambda n: F.concat(F.lit("'"), n, F.lit("' is no field of the schema"))))
     return df.withColumns({"errors": packed(errors), "warnings": noted})
 
 

@@ -76,7 +76,7 @@ class Engine:
     def retrain(self, epochs: int = 1, seed: int | None = None) -> None:
         """A model from scratch from the store."""
         if epochs < 1:
-            raise ValueError("epochs must be at least 1")
+            raise ValueError("training needs an epoch or more")
         rows = self.store.all()
         if self.classifier == NAIVE_BAYES:
             self._bayes, self._linear = C.fit_naive_bayes(rows), None

@@ -41,8 +41,8 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.lit("AB"), F.col("o_custkey").cast("string"))
     kind = F.when(F.col("o_orderstatus") == "F", "invoice").when(F.col("o_orderstatus") == "O", "order").otherwise("notice")
     text = (
-        F.when(F.col("o_orderstatus") == "F", F.concat_ws(" ", F.lit("Invoice CustomerNumber:"), number, day, F.lit("total"), amount, F.lit("tax"), F.lit("12,50")))
-        .when(F.col("o_orderstatus") == "O", F.concat_ws(" ", F.lit("Order Acme-Life"), amount, F.lit("Geico-Auto 120.00 on"), day, F.lit("-->"), "o_orderpriority"))
+        F.when(F.col("o_orderstatus") == "F", F.concat_ws(" ", F.lit("Invoice ClientRef:"), number, day, F.lit("total"), amount, F.lit("tax"), F.lit("12,50")))
+        .when(F.col("o_orderstatus") == "O", F.concat_ws(" ", F.lit("Order Acme-Leben"), amount, F.lit("Borea-Kfz 120.00 on"), day, F.lit("-->"), "o_orderpriority"))
         .otherwise(F.concat_ws(" ", F.lit("Notice"), day, F.lit("for"), number, F.lit("total"), amount))
     )
     return o.select(F.col("o_orderkey").alias("row_id"), kind.alias("kind"), text.alias("text"))
@@ -52,8 +52,8 @@ STATEMENTS = """
 s AS (SELECT o_orderkey AS row_id,
   CASE o_orderstatus WHEN 'F' THEN 'invoice' WHEN 'O' THEN 'order' ELSE 'notice' END AS kind,
   CASE o_orderstatus
-    WHEN 'F' THEN concat_ws(' ', 'Invoice CustomerNumber:', 'AB' || o_custkey, strftime(o_orderdate, '%Y-%m-%d'), 'total', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), 'tax', '12,50')
-    WHEN 'O' THEN concat_ws(' ', 'Order Acme-Life', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), 'Geico-Auto 120.00 on', strftime(o_orderdate, '%Y-%m-%d'), '-->', o_orderpriority)
+    WHEN 'F' THEN concat_ws(' ', 'Invoice ClientRef:', 'AB' || o_custkey, strftime(o_orderdate, '%Y-%m-%d'), 'total', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), 'tax', '12,50')
+    WHEN 'O' THEN concat_ws(' ', 'Order Acme-Leben', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), 'Borea-Kfz 120.00 on', strftime(o_orderdate, '%Y-%m-%d'), '-->', o_orderpriority)
     ELSE concat_ws(' ', 'Notice', strftime(o_orderdate, '%Y-%m-%d'), 'for', 'AB' || o_custkey, 'total', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR)) END AS text
   FROM orders)"""
 
@@ -212,7 +212,7 @@ def slot_positional(spark, sf_dir):
 
 
 def slot_key_anchored(spark, sf_dir):
-    return _fields(spark, sf_dir, X.KeyAnchoredSlot("customer", "customernumber", T.ALPHANUMERIC), X.KeyAnchoredSlot("after_total", "total")).drop("group_index")
+    return _fields(spark, sf_dir, X.KeyAnchoredSlot("customer", "clientref", T.ALPHANUMERIC), X.KeyAnchoredSlot("after_total", "total")).drop("group_index")
 
 
 def slot_repeating_group(spark, sf_dir):
@@ -407,7 +407,7 @@ def csv_predict(spark, sf_dir):
 
 
 SLOTS = {
-    "invoice": [X.KeyAnchoredSlot("customer", "CustomerNumber", T.ALPHANUMERIC), X.KeyAnchoredSlot("total", "total", T.AMOUNT)],
+    "invoice": [X.KeyAnchoredSlot("customer", "ClientRef", T.ALPHANUMERIC), X.KeyAnchoredSlot("total", "total", T.AMOUNT)],
     "order": [X.RepeatingGroupSlot((("insurer", T.WORD_SYMBOL), ("amount", T.AMOUNT)))],
 }
 
@@ -473,8 +473,8 @@ def _inference_sql() -> str:
 EVENT_ROWS = """ev AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN NULL ELSE CAST(CAST(round(value, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS value, props, 'U' || user_id AS usr,
   CASE WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END AS event_type FROM events),
 ch AS (SELECT event_id, value, props, event_type,
-  concat_ws('; ', CASE WHEN trim(coalesce(event_type, '')) = '' THEN 'missing or blank label field ''event_type''' END, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL AND value IS NOT NULL THEN 'field ''value'' must be numeric but was ''' || value || '''' END) AS errors,
-  concat_ws('; ', CASE WHEN value IS NULL THEN 'missing field ''value''' END, CASE WHEN props IS NULL THEN 'missing field ''props''' END, CASE WHEN usr IS NULL THEN 'missing field ''user''' END, 'missing field ''absent''', 'unknown field ''note'' is not declared in the schema') AS warnings FROM ev)"""
+  concat_ws('; ', CASE WHEN trim(coalesce(event_type, '')) = '' THEN 'label ''event_type'' has no value' END, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL AND value IS NOT NULL THEN '''value'' is no number: ' || value END) AS errors,
+  concat_ws('; ', CASE WHEN value IS NULL THEN '''value'' is not there' END, CASE WHEN props IS NULL THEN '''props'' is not there' END, CASE WHEN usr IS NULL THEN '''user'' is not there' END, '''absent'' is not there', '''note'' is no field of the schema') AS warnings FROM ev)"""
 LEVEL = " ".join(f"WHEN list_contains(string_split_regex(upper(v), '[\\s\\[\\]:|]+'), '{x}') THEN '{x}'" for x in ("ERROR", "WARN", "INFO", "DEBUG", "TRACE"))
 LOG_LINES = f"""lg AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [' || CASE event_id % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARN' WHEN 2 THEN 'note' ELSE 'INFO' END || '] app.' || event_type || ' - ' ||
   CASE event_id % 5 WHEN 0 THEN 'database connection refused' WHEN 1 THEN 'request timed out after retry' ELSE 'user request served' END AS v FROM events),
@@ -506,7 +506,7 @@ ORACLE = {
       SELECT row_id, CAST(stop - length(g) AS INT) AS first, CAST(stop - 1 AS INT) AS last FROM ranges WHERE length(g) > 1""",
     "pattern_matches_fully": f"WITH {STATEMENT_TOKENS} SELECT row_id, regexp_full_match(string_agg(c, '' ORDER BY pos), 'W+X?A*DWMWM') AS full FROM tokens GROUP BY row_id",
     "slot_positional": f"""WITH {STATEMENT_TOKENS} SELECT row_id, CASE pos WHEN 1 THEN 'second' ELSE 'eighth' END AS name, tok AS value, start, stop AS "end" FROM tokens WHERE pos IN (1, 7)""",
-    "slot_key_anchored": rf"""WITH {STATEMENT_TOKENS}, a AS (SELECT row_id, min(pos) FILTER (lower(regexp_replace(tok, '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}]+$', '', 'g')) = 'customernumber') AS k, min(pos) FILTER (lower(tok) = 'total') AS t FROM tokens GROUP BY row_id)
+    "slot_key_anchored": rf"""WITH {STATEMENT_TOKENS}, a AS (SELECT row_id, min(pos) FILTER (lower(regexp_replace(tok, '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}]+$', '', 'g')) = 'clientref') AS k, min(pos) FILTER (lower(tok) = 'total') AS t FROM tokens GROUP BY row_id)
       SELECT * FROM (SELECT DISTINCT ON (row_id) row_id, 'customer' AS name, tok AS value, start, stop AS "end" FROM tokens JOIN a USING (row_id) WHERE pos > k AND t.t = 'ALPHANUMERIC' ORDER BY row_id, pos)
       UNION ALL SELECT row_id, 'after_total', tok, start, stop FROM tokens JOIN a USING (row_id) WHERE pos = a.t + 1""".replace("t.t =", "tokens.t ="),
     "slot_repeating_group": f"""WITH {STATEMENT_TOKENS}, p AS (SELECT *, lead(t) OVER w AS nt, lead(tok) OVER w AS ntok, lead(start) OVER w AS nstart, lead(stop) OVER w AS nstop FROM tokens WINDOW w AS (PARTITION BY row_id ORDER BY pos)),

@@ -15,7 +15,7 @@ from lexmill.sources import csv, models
 from lexmill.sources.logs import read_log, write_findings
 
 SCHEMA = S.RecordSchema.define().text("purpose").identifier("iban").label("category").build()
-ROWS = [("monthly apartment rent", "DE1", "housing"), ("flat rent payment", "DE2", "housing"), ("salary for march", "DE3", "income"), ("bonus salary payment", "DE4", "income")]
+ROWS = [("green tea and kettle", "K1", "kitchen"), ("kettle with lid", "K2", "kitchen"), ("spade and garden hose", "G1", "garden"), ("hose reel", "G2", "garden")]
 KEY = HashingConfig(1, 2)
 
 
@@ -102,8 +102,8 @@ def test_engine(spark):
     with pytest.raises(C.NotTrained):
         engine.classify(records(spark, ROWS))
     engine.learn(records(spark, ROWS))
-    assert predict(engine, spark, "rent payment for apartment")["label"] == "housing"
-    assert {r.label: r.observations for r in engine.metrics().collect()} == {"housing": 2, "income": 2}
+    assert predict(engine, spark, "kettle for tea")["label"] == "kitchen"
+    assert {r.label: r.observations for r in engine.metrics().collect()} == {"garden": 2, "kitchen": 2}
     with pytest.raises(ValueError):
         engine.learn(records(spark, [("x", None, " ")]))
     before = predict(engine, spark, "zoo visit")["label"]
@@ -120,7 +120,7 @@ def test_logistic_engine(spark):
     engine = Engine(spark, SCHEMA, KEY, models.LOGISTIC_REGRESSION)
     engine.learn(records(spark, ROWS))
     engine.retrain(80, seed=42)
-    assert predict(engine, spark, "apartment rent payment")["label"] == "housing"
+    assert predict(engine, spark, "tea kettle")["label"] == "kitchen"
     with pytest.raises(ValueError):
         engine.retrain(0)
 
@@ -129,9 +129,9 @@ def test_logistic_engine(spark):
 def test_review(spark, strategy):
     engine = Engine(spark, SCHEMA, KEY)
     engine.learn(records(spark, ROWS))
-    pool = records(spark, [("monthly apartment rent", None, None), ("unrelated neutral wording xyz", None, None)])
+    pool = records(spark, [("green tea and kettle", None, None), ("qq vv ww", None, None)])
     got = engine.select_for_review(pool, 2, strategy).collect()
-    assert [r.purpose for r in got][0] == "unrelated neutral wording xyz" and got[0].margin < got[1].margin
+    assert [r.purpose for r in got][0] == "qq vv ww" and got[0].margin < got[1].margin
     with pytest.raises(ValueError):
         engine.select_for_review(pool, -1, strategy)
     one = Engine(spark, SCHEMA, KEY)
@@ -146,7 +146,7 @@ def test_save_and_load(spark, tmp_path, kind):
     engine.save(f"{tmp_path}/m")
     back = Engine.load(spark, f"{tmp_path}/m")
     assert back.schema == SCHEMA and back.hashing == KEY and back.classifier == kind
-    a, b = predict(engine, spark, "rent"), predict(back, spark, "rent")
+    a, b = predict(engine, spark, "kettle"), predict(back, spark, "kettle")
     assert a["label"] == b["label"] and abs(a["confidence"] - b["confidence"]) < 1e-9
     models.export_text(models.load_model(spark, f"{tmp_path}/m"), f"{tmp_path}/x")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/x").collect()]
@@ -255,6 +255,6 @@ def test_privacy(spark):
 def test_records_of_different_shapes(spark):
     df = spark.createDataFrame([(1, {"purpose": "rent", "category": "h"}), (2, {"purpose": "x", "note": "n", "category": "h"}), (3, {})], "i int, m map<string,string>")
     got = {r.i: (r.errors, r.warnings) for r in S.validate(S.from_maps(df, "m", SCHEMA, keep=("i",)), SCHEMA, ignore=("i",), unknown_col="unknown_fields").collect()}
-    assert got[1] == ([], ["missing field 'iban'"])
-    assert got[2][1] == ["missing field 'iban'", "unknown field 'note' is not declared in the schema"]
-    assert got[3][0] == ["missing or blank label field 'category'"]
+    assert got[1] == ([], ["'iban' is not there"])
+    assert got[2][1] == ["'iban' is not there", "'note' is no field of the schema"]
+    assert got[3][0] == ["label 'category' has no value"]

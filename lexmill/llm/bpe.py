@@ -14,7 +14,8 @@ non-space.  A piece never runs over the border from non-space to white space, so
 depend on what surrounds it.  The table is emptied when it is full; that changes the time, not the ids.
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts of any
-length are read whole; an id outside the vocabulary raises ``ValueError``.
+length are read whole; no ties arise (a rank belongs to one pair, and its places are taken from left to right); rows that repeat an id or a text have rows of their own with
+equal results; a null id is kept as null; an empty table gives an empty table; other columns, whatever their names, are not read; an id outside the vocabulary raises ``ValueError``.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ The other digests go through an ordinary shuffle with partial aggregation.
 
 Defined results: null text counts as empty; rows that repeat an id are rows of their own in
 ``assign`` (exactly one row of a group has ``kept``), and ``dedup`` keeps one of them; an empty table
-gives an empty table; other columns are carried by ``dedup`` whatever their names.
+gives an empty table; texts of any length are read whole, as one digest; ties in length and id go to the least hash of the other columns (``dedup``) or
+to the first row read (``assign``); other columns are carried by ``dedup`` whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ texts move once by their key, and of the next text only the prefix that is neede
 
 Defined results: null text counts as empty; a null id comes last in descending order; rows that repeat
 an id come in the order of a hash of their texts, and rows that repeat both share their neighbour; a table
-of one row is its own neighbour; an empty table gives an empty table.
+of one row is its own neighbour; an empty table gives an empty table; texts of any length are read whole, within their row; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ the links are then decided on the shingle sets, and only these links make groups
 
 Defined results: null and empty texts have fingerprint zero and are linked to each other; rows that
 repeat an id share one component if their texts do; a component of rows without id has a null component_id; an
-empty table gives an empty table; ``near_dedup`` keeps all columns whatever their names.
+empty table gives an empty table; texts of any length are read whole, in blocks of shingles; of a component the least id stays, of rows that repeat it
+the one with the least text hash; ``near_components`` doesn't read other columns, and ``near_dedup`` keeps all columns whatever their names.
 """
 
 from __future__ import annotations

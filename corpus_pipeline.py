@@ -3,6 +3,11 @@
 Each stage is written as Parquet in the shared folder and read again by the next one.  All but the last return the
 columns of ``documents``; the last returns doc_id, n_tokens, ids_sha256 and decoded_sha256, a row for each
 document of the mix (repeated documents are rows of their own).
+
+Defined results: a document with a null or empty text, or without words, is rejected by the first stage; very long texts go through whole; rows
+that repeat a text, whatever their ids, become one in the second stage (the longest original, then the least id; a null id comes last and is kept as null); of
+a near-duplicate group the least id stays; rows that tie in all that decides are equal, and one of them stays; an empty table
+gives an empty table with each stage's columns; further columns, whatever their names, are carried up to the last stage.
 """
 
 from __future__ import annotations

@@ -199,7 +199,7 @@ class Bpe:
         ids = dict(zip(pieces, self.merge_all(pieces)))
         return {s: tuple(i for p in ps for i in ((p,) if isinstance(p, int) else ids[p])) for s, ps in cut.items()}
 
-    def batches(self, texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[list[str], dict[str, tuple[int, ...]]]]:
+    def batches(self, texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[list[str], dict[str, tuple[int, ...]]]]:
         """Per text its segments, with a table that holds them all."""
         at = 0
         while at < len(texts):

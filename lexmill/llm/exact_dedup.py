@@ -82,6 +82,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support
     rows = df.select(key.alias("digest"), order.alias("ord"), F.struct(*[df[c].alias(n) for c, n in zip(df.columns, names)]).alias("row"))
     first = rows.join(F.broadcast(heavy.select("digest", F.col("win").alias("hot"))), "digest", "left")
     first = first.filter(F.col("hot").isNull() | (F.col("hot") == F.col("ord"))).drop("hot")
-    last = first.join(winners, "digest").filter(F.col("ord") == F.col("win"))
-    one = last.groupBy("digest").agg(F.first("row").alias("row"))
+    # grouped by the join's own keys, so that texts aren't shuffled again
+    won = winners.select(F.col("digest").alias("won"), "win")
+    last = first.join(won, (F.col("digest") == F.col("won")) & (F.col("ord") == F.col("win")))
+    one = last.groupBy("won", "win").agg(F.first("row").alias("row"))
     return one.select(*[F.col(f"row.{n}").alias(c) for c, n in zip(df.columns, names)])

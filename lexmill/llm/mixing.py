@@ -103,12 +103,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as it is taken (not at all, once or twice)."""
     names = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.select(df[id_col].alias("__id"), F.xxhash64(text_of(df[text_col]), df[source_col]).alias("__h"), F.struct(*[df[c].alias(n) for c, n in zip(df.columns, names)]).alias("row"))
+    rows = df.select(F.coalesce(df[id_col].cast("string"), F.lit("")).alias("__id"), df[id_col].isNull().alias("__none"), F.xxhash64(text_of(df[text_col]), df[source_col]).alias("__h"), F.struct(*[df[c].alias(n) for c, n in zip(df.columns, names)]).alias("row"))
     keyed = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[source_col].alias("source"), F.xxhash64(text_of(df[text_col]), df[source_col]).alias("h"))
     plan = mix(keyed, "id", "text", "source", seed, carry=("h",))
-    times = plan.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("epochs")).alias("times")).select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "times")
+    times = plan.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("epochs")).alias("times")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("t_id"), F.col("doc_id").isNull().alias("t_none"), F.col("h").alias("t_h"), "times")
     # rows that repeat id, text and source share a list of as many numbers
-    met = rows.join(times, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__h") == F.col("t_h")))
-    one = F.row_number().over(Window.partitionBy("__h", "__id").orderBy(F.lit(0)))
+    # plain equalities, so that the join's partitioning serves the window
+    met = rows.join(times, (F.col("__id") == F.col("t_id")) & (F.col("__none") == F.col("t_none")) & (F.col("__h") == F.col("t_h")))
+    one = F.row_number().over(Window.partitionBy("__h", "__id", "__none").orderBy(F.lit(0)))
     out = met.withColumn("__k", one).select("row", F.explode(F.array_repeat(F.lit(0), F.get("times", F.col("__k") - 1).cast("int"))))
     return out.select(*[F.col(f"row.{n}").alias(c) for c, n in zip(df.columns, names)])

@@ -659,9 +659,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     sets = stage(met.mapInArrow(shingled, "key long, node long, fp binary, shingles binary").dropDuplicates(["node"]), "shingles")
     group = connected_components(exact_links(sets, radius, WIDE_WORDS, group_rows)).withColumnRenamed("node", "n")
     named = nodes.join(group, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("stay").alias("stay"))
-    stay = stage(named.select(F.col("stay.doc_id").alias("__stay_id"), F.col("stay.h").alias("__stay_h")), "stay")
+
+    def row_keys(row_id, h):
+        # plain equalities, so that the join's partitioning serves the aggregation behind it
+        return [h, F.coalesce(row_id, F.lit(0).cast("long")), row_id.isNull()]
+
+    own, other = ["__h", "__id", "__none"], ["__stay_h", "__stay_id", "__stay_none"]
+    stay = stage(named.select(*[c.alias(n) for c, n in zip(row_keys(F.col("stay.doc_id"), F.col("stay.h")), other)]), "stay")
     names = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.select(df[id_col].cast("long").alias("__id"), F.xxhash64(text_of(df[text_col])).alias("__h"), F.struct(*[df[c].alias(n) for c, n in zip(df.columns, names)]).alias("row"))
-    kept = rows.join(stay, (F.col("__h") == F.col("__stay_h")) & F.col("__id").eqNullSafe(F.col("__stay_id")), "left_semi")
-    one = kept.groupBy("__h", "__id").agg(F.first("row").alias("row"))
+    keys = row_keys(df[id_col].cast("long"), F.xxhash64(text_of(df[text_col])))
+    rows = df.select(*[c.alias(n) for c, n in zip(keys, own)], F.struct(*[df[c].alias(n) for c, n in zip(df.columns, names)]).alias("row"))
+    kept = rows.join(stay, [F.col(a) == F.col(b) for a, b in zip(own, other)], "left_semi")
+    one = kept.groupBy(*own).agg(F.first("row").alias("row"))
     return one.select(*[F.col(f"row.{n}").alias(c) for c, n in zip(df.columns, names)])
